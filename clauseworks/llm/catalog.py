@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import residue
+from . import language, residue
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    clauses = table(spark, d, "iso_clauses")
+    model = language.fit(language.labelled_sample(clauses))
+    return language.identify(language.records(clauses, table(spark, d, "parsed_sections")), model)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found_cases(_judged(spark, d))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).dropDuplicates(["record_kind", "record_uid"]).select("record_kind", "record_uid", "lang", F.round("confidence", 6).alias("confidence"), "segment_langs", "segment_confidence")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +34,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p9_found, p9_clean]
+    names = [p5_found, p5_records, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
