@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, residue
+from . import language, residue, splitting
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).dropDuplicates(["record_kind", "record_uid"]).select("record_kind", "record_uid", "lang", F.round("confidence", 6).alias("confidence"), "segment_langs", "segment_confidence")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return language.records(table(spark, d, "iso_clauses"), table(spark, d, "parsed_sections")).drop("label")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(_records(spark, d)).select("record_kind", "record_uid")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(_records(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -34,7 +46,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p5_found, p5_records, p9_found, p9_clean]
+    names = [p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 

@@ -130,7 +130,7 @@ def placeholder_in(text: str) -> bool:
     """A placeholder or directive that isn't put in quotation marks, nor a bracketed reference of the text."""
     for m in PLACEHOLDER.finditer(text):
         found = m.group()
-        before, after = text[: m.start()].rstrip("   ")[-1:], text[m.end() :][:2].lstrip("   ")[:1]
+        before, after = text[: m.start()].rstrip(" \u00a0\u202f\u2009")[-1:], text[m.end() :][:2].lstrip(" \u00a0\u202f\u2009")[:1]
         if before and after and before in QUOTES and after in QUOTES:
             continue
         if found[0] in "[<" and found[1:2] not in "[<%!" and REFERENCE.match(found[1:-1]):
