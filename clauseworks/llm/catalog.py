@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, residue, splitting
+from . import language, markup, residue, splitting
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.convert(table(spark, d, "parsed_documents")).select("parsed_id", F.explode("kinds").alias("markup_kind")).distinct()
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = markup.convert(table(spark, d, "parsed_documents")).select("parsed_id", F.explode("blocks").alias("b"))
+    return rows.select("parsed_id", "b.*").dropDuplicates(["parsed_id", "block_no"])
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +55,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
+    names = [p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
