@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, markup, residue, splitting
+from . import language, markup, residue, scans, splitting
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.damage(scans.cleaned(table(spark, d, "parsed_sections")))[0].select("section_uid")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "parsed_sections"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +63,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
