@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, markup, residue, scans, splitting
+from . import language, markup, residue, scans, splitting, terms
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,16 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repair(table(spark, d, "parsed_sections"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, probes = terms.records(table(spark, d, "iso_clauses"), table(spark, d, "keyword_registry")), table(spark, d, "term_probes")
+    return terms.answer_probes(terms.score_terms(terms.only_probed(rows, probes), terms.background(rows)), probes)
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = terms.records(table(spark, d, "iso_clauses"), table(spark, d, "keyword_registry"))
+    return terms.score_terms(rows.dropDuplicates(["record_kind", "record_uid"]), terms.background(rows))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.convert(table(spark, d, "parsed_documents")).select("parsed_id", F.explode("kinds").alias("markup_kind")).distinct()
 
@@ -63,7 +73,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_repaired, p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
