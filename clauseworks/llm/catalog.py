@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, markup, residue, scans, splitting, terms
+from . import language, markup, neardup, residue, scans, splitting, terms
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("parsed_id", "b.*").dropDuplicates(["parsed_id", "block_no"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(_records(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_records(spark, d))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     clauses = table(spark, d, "iso_clauses")
     model = language.fit(language.labelled_sample(clauses))
@@ -73,7 +81,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p4_found, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
