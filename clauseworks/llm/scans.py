@@ -171,7 +171,7 @@ def skeleton(word: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Words of a text, lower-cased, with the odd glyphs inside them; codes and numbers aren't words."""
-    return [w.lower() for w in _TOKEN.findall(text) if not _CODE.match(w)]
+    return " ".join([w for w in _TOKEN.findall(text) if w.isalpha() or not _CODE.match(w)]).lower().split()
 
 
 def glyph_cost(seen: str, meant: str, most: int = 6) -> int:
@@ -231,7 +231,7 @@ def sgns(center: np.ndarray, context: np.ndarray, count: np.ndarray, unigram: np
 def _clean(batches):
     seen: set[int] = set()  # a section's deliveries lie in one partition
     for b in batches:
-        uids, texts, furniture, cuts = [], [], [], []
+        uids, texts, words, furniture, cuts = [], [], [], [], []
         for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if uid is None or uid in seen:
                 continue
@@ -239,16 +239,17 @@ def _clean(batches):
             clean, f, c = clean_lines(text or "")
             uids.append(uid)
             texts.append(_SOFT.sub("", clean))
+            words.append(" ".join(tokens(texts[-1])))
             furniture.append(f)
             cuts.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(texts, pa.string()), pa.array(furniture, pa.int32()), pa.array(cuts, pa.int32())], ["section_uid", "text", "furniture", "cuts"])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(texts, pa.string()), pa.array(furniture, pa.int32()), pa.array(cuts, pa.int32()), pa.array(words, pa.string())], ["section_uid", "text", "furniture", "cuts", "words"])
 
 
 def cleaned(sections: DataFrame) -> DataFrame:
-    """section_uid, text, furniture, cuts: each section once, without furniture, hyphens at line ends and hard wraps."""
+    """section_uid, text, furniture, cuts, words (lower-cased, parted by blanks): each section once, without furniture, hyphens at line ends and hard wraps."""
     rows = sections.select("section_uid", "raw_text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(over_batches(rows.repartition(n, "section_uid"), _clean, "section_uid long, text string, furniture int, cuts int"), "cleaned")
+    return settle(over_batches(rows.repartition(n, "section_uid"), _clean, "section_uid long, text string, furniture int, cuts int, words string"), "cleaned")
 
 
 def _count(batches):
@@ -261,7 +262,7 @@ def _count(batches):
 
     for b in batches:
         for text in b.column(0).to_pylist():
-            counts.update(tokens(text))
+            counts.update(text.split(" "))
         if len(counts) > 500_000:
             yield flush()
     yield flush()
@@ -269,7 +270,7 @@ def _count(batches):
 
 def word_table(clean: DataFrame) -> DataFrame:
     """word, skeleton, n over all sections."""
-    counted = over_batches(clean.select("text"), _count, "word string, n long, skeleton string")
+    counted = over_batches(clean.filter("words <> ''").select("words"), _count, "word string, n long, skeleton string")
     return settle(counted.groupBy("word", "skeleton").agg(F.sum("n").alias("n")), "words")
 
 
@@ -290,9 +291,9 @@ def glyph_links(words: DataFrame, frequent: DataFrame) -> DataFrame:
     return settle(checked.groupBy("word").agg(F.sort_array(F.collect_set("meant")).alias("meant")), "links")
 
 
-def _context(batches, vocabulary: dict[str, int], doubtful: frozenset[str]):
+def _context(batches, vocabulary: dict[str, int]):
     """Counted skip-gram pairs of vocabulary words (a, b, n) and every doubtful occurrence (section, word, words around)."""
-    size = len(vocabulary)
+    size = max(vocabulary.values(), default=0) + 1
     keys, waiting = [], 0
     names = ["a", "b", "n", "section_uid", "word", "around"]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
@@ -305,8 +306,8 @@ def _context(batches, vocabulary: dict[str, int], doubtful: frozenset[str]):
     for b in batches:
         uids, words, around, flat, lengths = [], [], [], [], []
         for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = tokens(text)
-            ids = [-1 if w in doubtful else vocabulary.get(w, -1) for w in own]
+            own = text.split(" ")
+            ids = [vocabulary.get(w, -1) for w in own]
             flat += ids
             flat += [-1] * WINDOW
             for i, k in enumerate(ids):
@@ -404,8 +405,8 @@ def corrections(clean: DataFrame) -> DataFrame:
     vocabulary = sorted((r["word"], r["n"]) for r in frequent.select("word", "n").toLocalIterator())  # at most 1 / SHARE words
     doubtful = frozenset(r["word"] for r in frequent.join(links, "word", "left_semi").select("word").toLocalIterator())
     index = {w: i for i, (w, _) in enumerate(vocabulary)}
-    shared = spark.sparkContext.broadcast((index, doubtful))
-    found = settle(over_batches(clean.select("section_uid", "text"), lambda batches: _context(batches, *shared.value), "a int, b int, n long, section_uid long, word string, around array<int>"), "contexts")
+    shared = spark.sparkContext.broadcast({w: i for w, i in index.items() if w not in doubtful})
+    found = settle(over_batches(clean.filter("words <> ''").select("section_uid", "words"), lambda batches: _context(batches, shared.value), "a int, b int, n long, section_uid long, word string, around array<int>"), "contexts")
     state = learn_vectors(found.filter("a is not null").select("a", "b", "n"), np.array([float(n) for _, n in vocabulary]))
     model = spark.sparkContext.broadcast((state, index))
     doubts = found.filter("section_uid is not null").select("section_uid", "word", "around").join(links, "word").select("section_uid", "word", "around", "meant")
