@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import language, markup, neardup, residue, scans, splitting, terms
+from . import language, markup, mixing, neardup, packing, residue, scans, splitting, terms, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,27 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_records(spark, d))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(_sizes(spark, d), table(spark, d, "container_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    specs = table(spark, d, "container_specs")
+    return packing.fill(packing.pack_all(_sizes(spark, d), specs), specs)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "source_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(_sizes(spark, d), table(spark, d, "source_targets")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -81,7 +102,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p4_found, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p4_found, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 
