@@ -2,7 +2,8 @@
 
 Method: every document gets a hash-random key; within each source the keys are range-partitioned, token counts are prefix-summed in
 two levels (ranges, then rows), and the order is cut at the source's exact budget. A budget above the source's tokens takes whole
-epochs first and cuts the last one. The total is the largest for which no source needs more than its max_repeats epochs, or a
+epochs first and cuts the last one. A document too long for what is left ends a sweep; further sweeps over the documents that still
+fit, SWEEPS in all, use up the rest. The total is the largest for which no source needs more than its max_repeats epochs, or a
 given smaller one.
 
 Sources are matched in lower case with one separator; documents without source, target or tokens aren't used. A source of the
@@ -20,6 +21,7 @@ from ..runtime import settle
 SEED = 17
 #: Documents in one range of keys, about.
 RANGE = 500_000
+SWEEPS = 3
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -39,16 +41,27 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tuple
     small = F.broadcast(plan.select("source", "available", "budget"))  # a row for each row of the fixed targets
     most = plan.agg(F.max("documents")).first()[0] or 0
     bits = max(0, (int(most) // RANGE).bit_length())
+    epochs = F.floor(F.col("budget") / F.col("available"))
     rows = sizes.filter("tokens > 0").join(small, "source").withColumn("key", F.xxhash64(F.lit(SEED), "doc_id"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.select("source", "doc_id", "tokens", "key", epochs.cast("int").alias("epochs"), (F.col("budget") - epochs * F.col("available")).cast("long").alias("left"))
+    rows = rows.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")).withColumn("more", F.lit(0))
+    for _ in range(SWEEPS):
+        rows = settle(_sweep(rows), "sweep")
+        used = rows.groupBy("source").agg(F.sum(F.when(F.col("more") == 2, F.col("tokens")).otherwise(0)).alias("used"))
+        rows = rows.join(F.broadcast(used), "source").select("source", "doc_id", "tokens", "key", "epochs", (F.col("left") - F.col("used")).alias("left"), "range", F.least("more", F.lit(1)).alias("more"))
+    return rows.select("source", "doc_id", "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies")).filter("copies > 0"), plan
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    """One sweep: documents not yet taken that fit into what is left are prefix-summed by key and taken (more = 2) up to the cut."""
+    size = F.when((F.col("more") == 0) & (F.col("tokens") <= F.col("left")), F.col("tokens")).otherwise(0)
+    rows = rows.withColumn("size", size)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "range").agg(F.sum("tokens").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("through", F.sum("tokens").over(inside)).join(sums, ["source", "range"])
-    epochs = F.floor(F.col("budget") / F.col("available"))
-    last = F.col("budget") - epochs * F.col("available")
-    copies = (epochs + F.when(F.col("offset") + F.col("through") <= last, 1).otherwise(0)).cast("int")
-    return summed.select("source", "doc_id", "tokens", copies.alias("copies")).filter("copies > 0"), plan
+    summed = rows.withColumn("through", F.sum("size").over(inside)).join(sums, ["source", "range"])
+    taken = (F.col("size") > 0) & (F.col("offset") + F.col("through") <= F.col("left"))
+    return summed.select("source", "doc_id", "tokens", "key", "epochs", "left", "range", F.when(taken, 2).otherwise(F.col("more")).alias("more"))
 
 
 def shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:
