@@ -148,7 +148,7 @@ def _flow(text: str) -> str:
 
 
 # ---------------------------------------------------------------- words and glyphs
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@¢†|!($£€](?=[^\W_]))*")
+_TOKEN = re.compile(r"[^\W_]+(?:[@¢†|!($£€]+[^\W_]+)*")
 _CODE = re.compile(r"^(?:[A-Z]{0,4}\d[\dA-Z]*|\d+[^\W\d_]{0,2}|[A-Z]\d+)$")
 
 # What a glyph is taken for when characters are misrecognised. Each key may stand in place of any of its values.
@@ -238,7 +238,7 @@ def _clean(batches):
             seen.add(uid)
             clean, f, c = clean_lines(text or "")
             uids.append(uid)
-            texts.append(_SOFT.sub("", clean))
+            texts.append(_SOFT.sub("", clean) if "\u00ad" in clean or "¬" in clean else clean)
             words.append(" ".join(tokens(texts[-1])))
             furniture.append(f)
             cuts.append(c)
