@@ -45,6 +45,10 @@ def query_vectors(queries: DataFrame, key: str, tokens: str = "tokens") -> DataF
     return queries.select(key, F.explode(tokens).alias("token")).groupBy(key, T.token_index("token").alias("idx")).agg(F.count("*").cast("double").alias("weight"))
 
 
+def _sequences(words: str, n: int):
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+
+
 def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame, longest: int = 4) -> DataFrame:
     """key, canonical: vocabulary entries of which some form(canonical, form) stands as whole words in the text.
 
@@ -54,7 +58,6 @@ def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame, l
     words = texts.select(key, w.alias("w"))
     grams = None
     for n in range(1, longest + 1):
-        seq = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " "))
-        one = words.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(seq)).alias("form"))
+        one = words.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(_sequences("w", n))).alias("form"))
         grams = one if grams is None else grams.unionByName(one)
     return grams.join(forms.select("canonical", F.lower("form").alias("form")).distinct(), "form").select(key, "canonical").distinct()

@@ -1 +1,71 @@
-"""Sources of the engine."""
+"""Readers and writers: explicit schemas, tenant partitioning, JSON registries, idempotent upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+NORMS = "norm_key string, norm_id string, norm_version string, language string, norm_full string, created_at string"
+CLAUSES = "clause_uid long, norm_key string, norm_id string, norm_version string, language string, clause_number string, clause_title string, parent_clause string, top_level_family string, text string, has_requirements int"
+BLOCKS = "doc string, page int, pos int, zone string, text string, size double"
+SUFFIXES = (".pdf", ".docx")
+
+
+def read_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """path, content of the files with an accepted suffix; a decoder hook turns them into BLOCKS."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    wanted = F.lit(False)
+    for s in suffixes:
+        wanted |= F.endswith(F.lower("path"), F.lit(s))
+    return rows.filter(wanted).select("path", "content")
+
+
+def decode(files: DataFrame, decoder, schema: str = BLOCKS) -> DataFrame:
+    """Run decoder(path, content) -> rows of schema on every file; files of which it raises give no rows."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    out += list(decoder(path, bytes(content)))
+                except Exception:  # a broken file must not end the job
+                    continue
+            yield pd.DataFrame(out, columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
+def page_texts(text: str | F.Column):
+    """Pages of a text: split at form feeds, else the whole."""
+    return F.split(text, "\f")
+
+
+def write_registry(rows: DataFrame, folder: str, stamp: str) -> str:
+    """A timestamped JSON registry, and its name in the table of the latest one; returns the path."""
+    path = f"{folder.rstrip('/')}/registry_{stamp}"
+    rows.write.mode("error").json(path)
+    rows.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/latest")
+    return path
+
+
+def write_sections(rows: DataFrame, folder: str) -> None:
+    """Sections partitioned by tenant, so that a tenant's read prunes to its folder."""
+    rows.repartition("company_id").write.mode("append").partitionBy("company_id").parquet(folder)
+
+
+def read_sections(spark: SparkSession, folder: str, company: str, doc: str) -> DataFrame:
+    """Sections of one document of one tenant; both keys are mandatory."""
+    if not company or not doc:
+        raise ValueError("company and document are mandatory")
+    return spark.read.parquet(folder).filter((F.col("company_id") == company) & (F.col("doc_id") == doc)).orderBy("page_start", "section_id")
+
+
+def points(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with their deterministic point id, one a key."""
+    return rows.withColumn("point_id", T.uuid5(F.col(key).cast("string"))).dropDuplicates(["point_id"])
