@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from ..runtime import over_batches, settle
 
 WORDS_IN_SEQUENCE, SIMILAR, LEAST_WORDS = 3, 0.5, 40
-HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 24, 5, 3, 6, 9
+HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 20, 6, 3, 6, 9
 #: Records of a region compared with each other; larger regions are split deeper, and at the end in blocks of this size.
-REGION = 48
-#: Sketch bits of HASHES that must agree; at similarity 0.5 three quarters do, this is 3.3 standard deviations below.
-SKETCH = 80
+REGION = 32
+#: Sketch bits of HASHES that must agree; at a similarity of j the share (1 + j) / 2 of them does. Lower lets more unlike pairs reach the exact check.
+SKETCH = 86
 #: Classes of more copies than this are linked through their representative only (see p4_groups for their members).
 COPIES = 1000
 #: Ids of candidate records that may be broadcast; beyond it their texts are found by a shuffled join.
@@ -38,24 +39,35 @@ _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(1 << 20)
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+class _Hashes(dict):
+    """64-bit hashes of words, kept while they fit."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
 
-def sequence_set(text: str | None) -> np.ndarray | None:
-    """Sorted 64-bit hashes of the record's three-word sequences; None for a record of too few words."""
-    words = _WORD.findall((text or "").lower())
-    if len(words) < LEAST_WORDS:
-        return None
-    h = np.fromiter(map(_hash, words), np.uint64, len(words))
-    g = h[: -WORDS_IN_SEQUENCE + 1].copy()
+
+_hashes = _Hashes()
+
+
+def sequence_sets(texts: list[str | None]) -> list[np.ndarray | None]:
+    """Of each text the sorted 64-bit hashes of its three-word sequences; None for a text of too few words."""
+    words = [_WORD.findall(t.lower()) if t else () for t in texts]
+    words = [w if len(w) >= LEAST_WORDS else () for w in words]
+    ends = np.cumsum([len(w) for w in words])
+    if not len(ends) or not ends[-1]:
+        return [None] * len(texts)
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]))
+    n = len(h) - WORDS_IN_SEQUENCE + 1
+    g = h[:n].copy()
     for i in range(1, WORDS_IN_SEQUENCE):
-        g = (g ^ (g >> np.uint64(31))) * _ODD + h[i : len(h) - WORDS_IN_SEQUENCE + 1 + i]
+        g = (g ^ (g >> np.uint64(31))) * _ODD + h[i : n + i]
     g ^= g >> np.uint64(30)
     g *= np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(31)
-    return np.unique(g)
+    return [np.unique(g[z - len(w) : z - WORDS_IN_SEQUENCE + 1]) if w else None for w, z in zip(words, ends)]
 
 
 @functools.cache
@@ -98,13 +110,10 @@ SIGNED = "record_kind string, record_uid long, c1 long, c2 long, s1 long, s2 lon
 
 def _sign(batches):
     for b in batches:
-        rows, sets = [], []
         kinds, uids, texts = (b.column(i).to_pylist() for i in range(3))
-        for i, t in enumerate(texts):
-            s = sequence_set(t) if uids[i] is not None else None
-            if s is not None:
-                rows.append(i)
-                sets.append(s)
+        found = sequence_sets(texts)
+        rows = [i for i, s in enumerate(found) if s is not None and uids[i] is not None]
+        sets = [found[i] for i in rows]
         if not sets:
             continue
         m = signatures(sets)
@@ -169,7 +178,8 @@ def _sweep(batches):
     longs = pa.list_(pa.int64())
 
     def work(rows):
-        key, kind, uid, s1, s2 = rows
+        key, packed, s1, s2 = rows
+        kind, uid = packed & 1, packed >> 1
         i, j, crowded = neighbours(key)
         out = [[], [], []]
         for a in range(0, len(i), 1 << 20):
@@ -250,9 +260,11 @@ def classes(signed: DataFrame) -> DataFrame:
 def candidates(signed: DataFrame, twins: DataFrame) -> DataFrame:
     """kind, a, b: pairs of class representatives that the forest finds."""
     spark = signed.sparkSession
-    later = twins.filter("uid <> rep").select(F.col("kind").alias("k"), F.col("uid").alias("u"))
-    reps = signed.select(_code().alias("kind"), F.col("record_uid").alias("uid"), "s1", "s2", "keys").join(later, (F.col("kind") == F.col("k")) & (F.col("uid") == F.col("u")), "left_anti")
-    rows = reps.select(F.explode("keys").alias("key"), "kind", "uid", "s1", "s2")
+    later = twins.filter("uid <> rep").select((F.col("uid") * 2 + F.col("kind")).alias("packed"))
+    if later.count() <= BROADCAST_IDS:
+        later = F.broadcast(later)
+    reps = signed.select((F.col("record_uid") * 2 + _code()).alias("packed"), "s1", "s2", "keys").join(later, "packed", "left_anti")
+    rows = reps.select(F.explode("keys").alias("key"), "packed", "s1", "s2")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, F.shiftright("key", LEVEL_BITS * (DEEP - SHALLOW))).sortWithinPartitions("key")
     found = settle(over_batches(rows, _sweep, "a_kind int, a long, b long, region long, ids array<long>, k1 array<long>, k2 array<long>"), "forest")
@@ -272,12 +284,9 @@ def _sets(batches, wanted=None):
             ids = np.array([-1 if u is None else u for u in uids], np.int64)
             code = np.array([KINDS.index(k) for k in kinds])
             keep = np.flatnonzero(np.where(code == 0, np.isin(ids, wanted[0]), np.isin(ids, wanted[1])))
-        rows, sets = [], []
-        for i in keep:
-            s = sequence_set(texts[i])
-            if s is not None:
-                rows.append(i)
-                sets.append(s)
+        found = sequence_sets([texts[i] for i in keep])
+        rows = [i for i, s in zip(keep, found) if s is not None]
+        sets = [s for s in found if s is not None]
         if not sets:
             continue
         offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
@@ -299,11 +308,11 @@ def verified(records: DataFrame, pairs: DataFrame) -> DataFrame:
     else:
         named = ids.select(_name("kind").alias("record_kind"), F.col("uid").alias("record_uid"))
         sets = over_batches(records.join(named, ["record_kind", "record_uid"], "left_semi"), _sets, schema)
-    sets = settle(sets.groupBy("kind", "uid").agg(F.first("seqs").alias("seqs")), "sets")
+    sets = settle(sets, "sets")
     left = pairs.join(sets.withColumnsRenamed({"uid": "a", "seqs": "x"}), ["kind", "a"])
     both = left.join(sets.withColumnsRenamed({"uid": "b", "seqs": "y"}), ["kind", "b"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("kind", "a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
+    return both.select("kind", "a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= SIMILAR).distinct()  # repeated deliveries
 
 
 def links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
