@@ -73,7 +73,7 @@ def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(fn, schema)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by keys (all rows round about when there are none)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores; only a few small files are ever spread out. For plain scans only."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
