@@ -45,8 +45,8 @@ _TITLE = f"(CASE WHEN {_TITLE1} = '' THEN clause_number WHEN length({_TITLE1}) >
 
 
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
-    """Each clause once: repeated deliveries are equal rows."""
-    return table(spark, d, "iso_clauses").distinct()
+    """Each clause once: repeated deliveries are equal rows. Partitioned by the key the operators group by, and not coalesced, as text work follows."""
+    return table(spark, d, "iso_clauses").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause_uid").distinct()
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
