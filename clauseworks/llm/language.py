@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import over_batches
+from ..runtime import over_batches, widen
 
 LANGS = ("de", "en", "es", "fr", "it")
 #: Labelled rows of each language that the model is fitted on, at most.
@@ -206,13 +206,13 @@ SCHEMA = "record_kind string, record_uid long, lang string, confidence double, w
 def records(clauses: DataFrame, sections: DataFrame) -> DataFrame:
     """record_kind, record_uid, label, text of both tables."""
     c = clauses.select(F.lit("clause").alias("record_kind"), F.col("clause_uid").alias("record_uid"), F.col("language").alias("label"), "text")
-    return c.unionByName(sections.select(F.lit("section").alias("record_kind"), F.col("section_uid").alias("record_uid"), F.lit(None).cast("string").alias("label"), F.col("raw_text").alias("text")))
+    return c.unionByName(sections.select(F.lit("section").alias("record_kind"), F.col("section_uid").alias("record_uid"), F.lit(None).cast("string").alias("label"), F.col("raw_text").alias("text"))).filter("record_uid is not null")
 
 
 def identify(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """SCHEMA of rows(record_kind, record_uid, label, text): language and confidence of each record and of each of its sentences."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return over_batches(rows, lambda batches: _judge(batches, shared.value), SCHEMA)
+    return over_batches(widen(rows), lambda batches: _judge(batches, shared.value), SCHEMA)
 
 
 def found_cases(judged: DataFrame) -> DataFrame:

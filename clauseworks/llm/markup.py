@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import over_batches
+from ..runtime import over_batches, widen
 from .language import FUNCTION_WORDS
 
 STOP_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
@@ -281,7 +281,7 @@ def _convert(batches):
 
 def convert(documents: DataFrame) -> DataFrame:
     """parsed_id, kinds, blocks of documents(parsed_id, markdown)."""
-    return over_batches(documents.select("parsed_id", "markdown"), _convert, f"parsed_id long, kinds array<string>, blocks {BLOCK}")
+    return over_batches(widen(documents.select("parsed_id", "markdown")).filter("parsed_id is not null"), _convert, f"parsed_id long, kinds array<string>, blocks {BLOCK}")
 
 
 def clean_text(converted: DataFrame) -> DataFrame:

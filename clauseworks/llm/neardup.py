@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import over_batches, settle
+from ..runtime import over_batches, settle, widen
 
 WORDS_IN_SEQUENCE, SIMILAR, LEAST_WORDS = 3, 0.5, 40
 HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 20, 6, 3, 6, 9
@@ -317,7 +317,7 @@ def verified(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives (kind, a, b, similarity), and the classes' members (kind, uid, rep, copies)."""
-    records = records.select("record_kind", "record_uid", "text")
+    records = widen(records.select("record_kind", "record_uid", "text")).filter("record_uid is not null")
     signed = settle(over_batches(records, _sign, SIGNED), "signed")
     twins = settle(classes(signed), "twins")
     return settle(verified(records, candidates(signed, twins)), "links"), twins

@@ -111,4 +111,4 @@ def pack_all(sizes: DataFrame, specs: DataFrame) -> DataFrame:
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """spec_id, containers, tokens, fill: how full the containers are."""
     used = packed.groupBy("spec_id").agg((F.max("container_no") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
-    return used.join(F.broadcast(specs.distinct()), "spec_id").select("spec_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    return used.join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct()), "spec_id").select("spec_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import over_batches, settle
+from ..runtime import over_batches, settle, widen
 
 #: A message in loose wording counts from this many documents that hold the same masked segment.
 RECURS_DOCS = 3
@@ -84,12 +84,13 @@ MESSAGE = re.compile(
 )
 #: Loose wording: the masked segment must also recur.
 LOOSE = re.compile(r"\b(?:javascript|cookies?|scripts?|browser|navigateur|navegador|server|serveur|servidor)\b", re.I)
+ADDRESSES = re.compile(r"\b(?:please|your|veuillez|merci de|votre|vos|bitte|ihre?[mnrs]?|por favor|sus?|si prega|(?:il )?(?:tuo|suo|vostro))\b", re.I)
 SPEAKS = re.compile(r"\b(?:auditor|auditeur|workstations?|postes|arbeitsplätzen|puestos|postazioni|terminal|operator|opérateur|forms?|fiches|badge|model|edition|édition)\b", re.I)
 # Characters and words of which one stands in every placeholder, filler and message rule. A text without any isn't looked at further.
 _MARKS = ("{", "<", "[", "@@", "$", "%", "#", "«", "_____", "......", "???", "XXXX", "xxxx", "XX/", "XX.", "XX-", "JJ/", "JJ.", "JJ-", "DD/", "DD.", "DD-", "TT/", "TT.", "TT-", "GG/", "GG.", "GG-", "MM/", "MM.", "MM-", "AAAA", "YYYY", "TBD", "TODO", "FIXME")
 _FILLERS = ("ipsum", "dolor", "bla bla", "xxx", "text text", "asdf", "qwert", "test test", "texte texte", "texto texto", "testo testo", "blah", "dummy", "foo foo", "aaa aaa")
 _TRIGGERS = (
-    "javascript", "cookie", "scripts", "skript", "richiede script", "browser", "navigateur", "navegador", "access denied", "accès refusé", "zugriff verw", "acceso denegado", "accesso negato", "do not have", "don't have",
+    "javascript", "cookie", "server", "serveur", "servidor", "scripts", "skript", "richiede script", "browser", "navigateur", "navegador", "access denied", "accès refusé", "zugriff verw", "acceso denegado", "accesso negato", "do not have", "don't have",
     "n'avez pas", "keine berechtigung", "no tiene perm", "no tiene auto", "no tiene derech", "non si dispone", "non dispone", "non hai", "non avete", "your session", "votre session", "sitzung ist", "su sesión", "sessione è", "sessione e", "sign in again", "log in again", "page you", "requested",
     "page que vous", "document demandé", "angefordert", "gesuchte", "solicitad", "página que busca", "cercata", "richiest", "error", "erreur", "fehler", "gateway", "not found", "forbidden", "unavailable", "indisponible", "nicht verfügbar", "no disponible", "non disponibile", "sorry", "oops", "oups", "ups,", "désolé", "leider",
     "lo sentimos", "spiacenti", "échec du", "traceback", "fault:", ".java:", "on line", "exception:", "try again", "réessayer", "versuchen sie", "más tarde", "più tardi", " here", "paragraphe d'exemple", "ejemplo", "esempio", "blindtext", "beispiel", "muster", "replace", "texte ici", "text ici", "ihr text",
@@ -162,7 +163,7 @@ def findings(text: str) -> list[tuple[str, str, bool]]:
             s = normalise(s)
             if MESSAGE.search(s):
                 out.append(("message", s, True))
-            elif LOOSE.search(s) and not SPEAKS.search(s):
+            elif LOOSE.search(s) and ADDRESSES.search(s) and not SPEAKS.search(s):
                 out.append(("message", s, False))
     return out
 
@@ -189,7 +190,7 @@ def _scan(batches):
 def suspects(documents: DataFrame) -> DataFrame:
     """doc_id, source, kind, segment_hash, segment, certain: every suspicious segment of documents(doc_id, source, text)."""
     rows = documents.select("doc_id", F.lower(F.regexp_replace(F.trim("source"), "-", "_")).alias("source"), "text")
-    return over_batches(rows, _scan, "doc_id long, source string, kind string, segment_hash long, segment string, certain boolean")
+    return over_batches(widen(rows).filter("doc_id is not null"), _scan, "doc_id long, source string, kind string, segment_hash long, segment string, certain boolean")
 
 
 def recurring_messages(found: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from ..runtime import over_batches, settle
 SHARE, LEAST = 4e-6, 8
 #: A neighbour must be so many times as frequent as the word it replaces.
 RATIO = 12
-DIM, NEGATIVE, WINDOW, ROUNDS = 24, 5, 2, 3
+DIM, NEGATIVE, WINDOW, ROUNDS = 16, 5, 2, 3
 #: Least agreement (mean of vector products, in nats above chance) of the context with the correction.
 AGREES = -0.5
 
@@ -345,7 +345,7 @@ def _pair_batches(keys, size, names, kinds):
 
 #: Distinct pairs that one task trains on; beyond it shards train side by side and their vectors are averaged after each round.
 SHARD = 4_000_000
-SAMPLES = 4
+SAMPLES = 3
 
 
 def learn_vectors(pairs: DataFrame, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

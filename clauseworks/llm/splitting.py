@@ -47,7 +47,7 @@ def ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
     """record_kind, record_uid, range_no, before, body, after: each text in ranges of size code points with halos; cut in the JVM."""
     at = F.col("range_no") * size
     last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / size)).cast("int")
-    rows = items.filter(F.col("text").isNotNull())
+    rows = items.filter(F.col("text").isNotNull() & F.col("record_uid").isNotNull())
     return rows.select("record_kind", "record_uid", "text", F.explode(F.sequence(F.lit(0), last)).alias("range_no")).select(
         "record_kind",
         "record_uid",

@@ -33,7 +33,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def records(clauses: DataFrame, registry: DataFrame) -> DataFrame:
     """record_kind, record_uid, text, keywords of both tables."""
     c = clauses.select(F.lit("clause").alias("record_kind"), F.col("clause_uid").alias("record_uid"), "text", F.lit(None).cast("array<string>").alias("keywords"))
-    return c.unionByName(registry.select(F.lit("registry").alias("record_kind"), F.col("entry_id").alias("record_uid"), F.lit(None).cast("string").alias("text"), "keywords"))
+    return c.unionByName(registry.select(F.lit("registry").alias("record_kind"), F.col("entry_id").alias("record_uid"), F.lit(None).cast("string").alias("text"), "keywords")).filter("record_uid is not null")
 
 
 def terms_of(text: str | None, keywords: list | None) -> Counter:

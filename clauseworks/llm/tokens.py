@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import over_batches, settle
+from ..runtime import over_batches, settle, widen
 
 #: A file of token ranks as described in /opt/tokenizers/README.md.
 VOCABULARY = os.environ.get("CLAUSEWORKS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -37,5 +37,5 @@ def _count(batches, vocabulary: str):
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source (lower case, one spelling), tokens of documents(doc_id, source, text); each doc_id once, null and blank texts 0."""
     rows = documents.filter("doc_id is not null").select("doc_id", F.lower(F.regexp_replace(F.trim("source"), "[- ]", "_")).alias("source"), "text")
-    counted = over_batches(rows, lambda batches: _count(batches, vocabulary), "doc_id long, source string, tokens long")
+    counted = over_batches(widen(rows), lambda batches: _count(batches, vocabulary), "doc_id long, source string, tokens long")
     return settle(counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")), "token_counts")
