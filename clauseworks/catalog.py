@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import corpus, layout, registry, retrieval, segment
+from .operators import corpus, layout, pages, registry, retrieval, segment
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,6 +442,39 @@ def streamed_entries(spark, d):
     return drain(spark, f"{d}/keyword_registry.parquet", schema, ["entry_id"], "generated_at").select("entry_id", "generated_at")
 
 
+# ---------------------------------------------------------------- pages
+_NAMES = ["ref.", "réf.", "rif.", "issue", "édition", "ausgabe", "edición", "edizione"]
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents)),
+    v AS (SELECT doc_id, no, replace(lower(trim(regexp_extract(line, '^([^:\n]{{1,40}}?)\s*:\s*(.*)$', 1))), ' ', '_') AS name, trim(regexp_extract(line, '^([^:\n]{{1,40}}?)\s*:\s*(.*)$', 2)) AS value, lead(line) OVER (PARTITION BY doc_id ORDER BY no) AS nxt FROM l)
+    SELECT doc_id, name, arg_max(CASE WHEN value <> '' THEN value ELSE nxt END, no) AS value FROM v WHERE list_contains({_list(_NAMES)}, name) AND (value <> '' OR (NOT contains(nxt, ':') AND length(nxt) <= 120)) GROUP BY 1, 2"""
+)
+def key_values(spark, d):
+    return pages.key_values(table(spark, d, "documents"), "doc_id", "text", _NAMES)
+
+
+@query(
+    rf"""WITH l AS (SELECT parsed_id, unnest(string_split(replace(markdown, chr(13), ''), chr(10))) AS line FROM {_PAGES} WHERE markdown IS NOT NULL)
+    SELECT parsed_id, line, count(*) AS n FROM l WHERE length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) > 10 AND length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) >= 0.8 * length(regexp_replace(line, '[^\p{{L}}]', '', 'g'))
+    AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '<!--') GROUP BY 1, 2"""
+)
+def suspect_lines(spark, d):
+    lines = _documents(spark, d).filter("markdown is not null").select("parsed_id", F.explode(F.split(F.replace("markdown", F.lit("\r"), F.lit("")), "\n")).alias("line"))
+    return pages.suspect_lines(lines).groupBy("parsed_id", "line").agg(F.count("*").alias("n"))
+
+
+_RUNS = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
+
+
+@query(
+    f"""SELECT section_uid, round(len(list_filter(e, lambda w: list_contains(t, w))) / nullif(len(e), 0), 6) AS overlap FROM (SELECT section_uid, {_RUNS('title')} AS e, {_RUNS('raw_text')} AS t FROM {_SECTIONS})"""
+)
+def evidence_overlap(spark, d):
+    return _sections(spark, d).select("section_uid", F.round(pages.evidence_overlap(F.col("title"), F.col("raw_text")), 6).alias("overlap"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

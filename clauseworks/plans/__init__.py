@@ -1 +1,35 @@
-"""Plans of the engine."""
+"""Whole pipelines composed of the operators; each stays one lazy plan."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import corpus, hooks, retrieval, segment
+
+
+def index_clauses(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks with content type, references and tokens, and their sparse vectors."""
+    parts = segment.chunks(clauses.select("clause_uid", "text")).join(clauses.select("clause_uid", "norm_id", "language", "top_level_family", "clause_number"), "clause_uid")
+    chunks = parts.select(
+        T.chunk_id("norm_id", "clause_number", F.col("part"), F.lit(1)).alias("chunk_id"), "clause_uid", "norm_id", "language", "top_level_family", "clause_number", "part", "text", "words", "content_type",
+        T.cross_references("text").alias("references"), T.index_tokens("text", "clause_number").alias("tokens"),
+    )
+    return chunks, corpus.bm25_vectors(chunks, "chunk_id")
+
+
+def retrieve(chunks: DataFrame, sparse: DataFrame, queries: DataFrame, norms: Sequence[str], language: str | None = None, top: int = 15, keep: int = 5, embedder=None) -> DataFrame:
+    """Filtered hybrid retrieval of queries(query_id, query): dense and sparse lists, rank fusion, rerank, best keep."""
+    allowed = retrieval.require_rows(chunks.filter(retrieval.norm_filter(norms, language)), f"norms {list(norms)}")
+    dense = hooks.embed(allowed.select("chunk_id", "text"), "text", embedder).select(F.xxhash64("chunk_id").alias("vec_id"), "embedding")
+    asked = hooks.embed(queries, "query", embedder).select("query_id", "embedding")
+    first = max(20, 2 * top)
+    lists = [retrieval.dense_top_k(dense, asked, first)]
+    tokens = queries.select("query_id", T.index_tokens("query").alias("tokens"))
+    hits = retrieval.sparse_top_k(sparse.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), corpus.query_vectors(tokens, "query_id"), first, "chunk_id")
+    lists.append(hits.select("query_id", F.xxhash64("chunk_id").alias("vec_id"), "score", "rank"))
+    fused = retrieval.fuse(lists, "vec_id", top).join(allowed.withColumn("vec_id", F.xxhash64("chunk_id")), "vec_id").join(queries, "query_id")
+    return retrieval.rerank(fused, "chunk_id", retrieval.overlap_score(F.col("query"), F.col("text")), keep).select("query_id", "chunk_id", "clause_number", "score", "rerank_score", "place")
