@@ -31,3 +31,56 @@ def test_round_trip(seed):
         got += p.split()[5:]
     assert got == words
     assert all(p in text for p in pieces)
+
+
+def items(spark, rows):
+    return spark.createDataFrame([("section", u, t, 7) for u, t in rows], "record_kind string, record_uid long, text string, words int")
+
+
+def long_text(n, rng):
+    return "".join(rng.choice(["word", "pump,", "end."]) + rng.choice([" ", " ", "\n\n", " "]) for _ in range(n))
+
+
+def test_operator(spark):
+    rng = random.Random(1)
+    texts = {1: long_text(600, rng), 2: long_text(601, rng), 3: long_text(5000, rng), 4: "", 5: None, 6: "x" * 5000, 7: "one two"}
+    rows = items(spark, [*texts.items(), (2, texts[2]), (None, texts[3])])
+    assert sorted(r["record_uid"] for r in S.oversized(rows).collect()) == [2, 3]
+    got = {}
+    for r in S.split_texts(rows, size=700).collect():
+        assert len(r["text"].split()) == r["words"] <= 600
+        got.setdefault(r["record_uid"], {})[r["piece_no"]] = r["text"]
+    assert sorted(got) == [1, 2, 3, 6, 7] and len(got[1]) == 1
+    for uid, pieces in got.items():
+        words = pieces[0].split()
+        for no in range(1, len(pieces)):
+            assert words[-60:] == pieces[no].split()[:60]
+            words += pieces[no].split()[60:]
+        assert words == texts[uid].split()
+    assert S.split_texts(rows.limit(0)).count() == 0
+
+
+def test_boundaries_are_preferred():
+    text = "a b c d e f g. h i j\n\nk l m n o p q r s t u"
+    assert S.place_cuts(*map(lambda x: x, _table(text)), limit=12, overlap=2)[0] == (0, 10)
+
+
+def _table(text):
+    import numpy as np
+
+    n, at, strength = S.boundaries("", text, "")
+    return n, np.array(at), np.array(strength)
+
+
+def test_files_in_byte_ranges(spark, tmp_path):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["größe", "déjà", "pump.", "日本"]) + rng.choice([" ", "\n\n", " "]) for _ in range(4000))
+    path = tmp_path / "long.txt"
+    path.write_text(text, encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("")
+    rows = S.split_files(spark, [str(path), str(tmp_path / "empty.txt")], size=1000).orderBy("piece_no").collect()
+    words = rows[0]["text"].split()
+    for r in rows[1:]:
+        assert words[-60:] == r["text"].split()[:60]
+        words += r["text"].split()[60:]
+    assert words == text.split() and all(len(r["text"].split()) <= 600 for r in rows)
