@@ -80,22 +80,25 @@ def clean_lines(text: str) -> tuple[str, int, int]:
     fed = {i for i in full if lines[i][0] == "\f"} | {i for i, x in enumerate(lines) if x[:1] == "\f"}
     if len(drop) == len(full):
         drop = set()  # a text of numbers only is its own content
-    for _ in range(2):
+    for strong in (True, False, False):  # coded and capital headers first, then those that only their place gives away
         for k, i in enumerate(full):
             if i in drop or not _is_header(lines[i]):
                 continue
+            line = lines[i].strip()
+            coded = bool(_REF.match(line) or (line.isupper() and len(line) >= 6))
             before = next((j for j in reversed(full[:k]) if j not in drop), None)
+            if before is None or strong and not coded:
+                continue
             after = next((j for j in full[k + 1 :] if j not in drop), None)
-            near = (k > 0 and full[k - 1] in drop) or (k + 1 < len(full) and full[k + 1] in drop) or i in fed or (k > 0 and any(full[k - 1] < j <= i for j in fed))
-            open_before = before is not None and not _ENDS.search(lines[before].strip()) and not _is_header_break(lines, before)
-            open_after = after is not None and (lines[after].strip()[0].islower())
-            gap = i > 0 and not lines[i - 1].strip() or i + 1 < len(lines) and not lines[i + 1].strip()
-            alone = before is not None and after is not None and i > 0 and not lines[i - 1].strip() and i + 1 < len(lines) and not lines[i + 1].strip()
-            if alone and len(lines[i].strip()) >= 6:
-                drop.add(i)
-            elif near and (open_before or _REF.match(lines[i].strip()) or (lines[i].strip().isupper() or len(lines[i].strip()) < 70) and (gap or i in fed)) and before is not None:
-                drop.add(i)
-            elif open_before and open_after and (_REF.match(lines[i].strip()) or (gap and not _wrapped(lines, i))):
+            open_before = not _ENDS.search(lines[before].strip()) and not _BULLET.match(lines[before])
+            open_after = after is not None and lines[after].strip()[0].islower()
+            if open_after and not open_before and not coded:
+                continue  # the start of a sentence that goes on after the furniture
+            gap_before, gap_after = not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
+            near = full[k - 1] in drop or (k + 1 < len(full) and full[k + 1] in drop) or any(full[k - 1] < j <= i for j in fed)
+            alone = gap_before and gap_after and after is not None and len(line) >= 6
+            between = open_before and open_after and (bool(_REF.match(line)) or gap_before or gap_after)
+            if alone or between or (near and (open_before or coded or (len(line) < 70 and (gap_before or gap_after)))):
                 drop.add(i)
     furniture = len(drop) + sum(1 for j in fed if j not in drop)
     if not drop and not fed:
@@ -120,15 +123,6 @@ def clean_lines(text: str) -> tuple[str, int, int]:
     return _flow(joined), furniture, cut
 
 
-def _is_header_break(lines: list[str], i: int) -> bool:
-    return bool(_BULLET.match(lines[i]))
-
-
-def _wrapped(lines: list[str], i: int) -> bool:
-    """The line belongs to its neighbours: a paragraph wrapped at a fixed width."""
-    return i > 0 and bool(lines[i - 1].strip()) and i + 1 < len(lines) and bool(lines[i + 1].strip())
-
-
 def _flow(text: str) -> str:
     if "\n" not in text:
         return text

@@ -25,7 +25,7 @@ from ..runtime import over_batches, settle
 #: Weight of the record's own model in a token; small, so that a word used everywhere needs many uses to stand out.
 OWN = 0.005
 ROUNDS, CLOSE = 80, 1e-7
-BROADCAST_TERMS = 1_500_000
+BROADCAST_TERMS = 300_000
 SHARE = 1e-5
 LETTERS = re.compile(r"[^\W\d_]+")
 
