@@ -408,6 +408,39 @@ def kept_sections(spark, d):
     return segment.drop_repeated_empty(rows, "doc_id").select("doc_id", "section_id")
 
 
+@query(
+    r"""WITH h AS (SELECT DISTINCT lower(trim(clause_title)) AS known FROM iso_clauses WHERE trim(clause_title) <> ''), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+    m AS (SELECT doc_id, no, line, length(trim(line)) <= 64 AND NOT regexp_matches(trim(line), '[.!?;,]$') AND lower(trim(line)) IN (SELECT known FROM h) AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY no) AS section_no FROM m),
+    g AS (SELECT doc_id, section_no::BIGINT AS section_no, coalesce(max(CASE WHEN head THEN trim(line) END), '') AS title, coalesce(trim(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY no), ' ' || chr(10) || chr(9)), '') AS body FROM s GROUP BY 1, 2)
+    SELECT doc_id, section_no, title, length(body) AS chars FROM g WHERE section_no > 0 OR body <> ''"""
+)
+def plain_sections(spark, d):
+    headings = table(spark, d, "iso_clauses").select(F.col("clause_title").alias("title"))
+    rows = segment.plain_sections(table(spark, d, "documents"), headings, "doc_id", "text")
+    return rows.select("doc_id", "section_no", "title", F.length("raw_text").cast("long").alias("chars"))
+
+
+@query(
+    f"""SELECT company_id, doc_id, section_id, row_number() OVER (PARTITION BY company_id, doc_id ORDER BY page_start, section_id) AS position FROM {_SECTIONS} WHERE company_id = 'CMP-0007'"""
+)
+def tenant_sections(spark, d):
+    rows = _sections(spark, d).filter("company_id = 'CMP-0007'")
+    order = Window.partitionBy("company_id", "doc_id").orderBy("page_start", "section_id")
+    return rows.select("company_id", "doc_id", "section_id", F.row_number().over(order).alias("position"))
+
+
+@query("SELECT DISTINCT id FROM internaldocs WHERE id NOT IN (SELECT doc_id FROM parsed_sections WHERE doc_id IS NOT NULL)")
+def pending_documents(spark, d):
+    done = table(spark, d, "parsed_sections").select(F.col("doc_id").alias("id"))
+    return table(spark, d, "internaldocs").select("id").join(done, "id", "left_anti").distinct()
+
+
+@query(f"SELECT norm_key, clause_number, len(tokens) AS token_count FROM {_TOKENS} JOIN {_CLAUSES} USING (clause_uid)")
+def token_registry(spark, d):
+    tokens = T.index_tokens(F.coalesce("text", F.lit("")), "clause_number")
+    return _clauses(spark, d).select("norm_key", "clause_number", F.size(tokens).cast("long").alias("token_count"))
+
+
 # ---------------------------------------------------------------- layout and streams
 @query(
     """WITH b AS (SELECT l_suppkey AS doc, round(l_discount * 100, 1) AS font, sum(l_quantity) AS chars FROM lineitem GROUP BY 1, 2), y AS (SELECT doc, arg_max(font, (chars, font)) AS body, sum(chars) AS total FROM b GROUP BY 1)

@@ -104,6 +104,18 @@ def markdown_sections(documents: DataFrame, key: str = "parsed_id", text: str =
     return out.filter((F.col("section_no") > 0) | (F.col("raw_text") != "")).select(key, "section_no", "level", F.coalesce("title", F.lit("")).alias("title"), "raw_text")
 
 
+def plain_sections(documents: DataFrame, headings: DataFrame, key: str, text: str) -> DataFrame:
+    """key, section_no, title, raw_text: the text split at lines that are known headings(title), short and without end punctuation; what stands before is section 0."""
+    lines = documents.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("no", "line"))
+    known = headings.select(F.lower(F.trim("title")).alias("known")).filter("known <> ''").distinct()
+    line = F.trim("line")
+    marked = lines.withColumn("known", F.when((F.length(line) <= 64) & ~line.rlike(r"[.!?;,]$"), F.lower(line))).join(known.withColumn("is_head", F.lit(1)), "known", "left")
+    rows = marked.withColumn("section_no", F.sum(F.coalesce("is_head", F.lit(0))).over(Window.partitionBy(key).orderBy("no")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_head").isNull(), F.struct("no", "line")))), lambda x: x["line"]), "\n")
+    out = rows.groupBy(key, "section_no").agg(F.max(F.when(F.col("is_head") == 1, line)).alias("title"), F.btrim(body, F.lit(" \n\t")).alias("raw_text"))
+    return out.filter((F.col("section_no") > 0) | (F.col("raw_text") != "")).select(key, "section_no", F.coalesce("title", F.lit("")).alias("title"), "raw_text")
+
+
 def drop_repeated_empty(sections: DataFrame, key: str) -> DataFrame:
     """Sections without body whose title repeats among such sections are furniture."""
     empty = F.trim("raw_text") == ""
