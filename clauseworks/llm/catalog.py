@@ -106,5 +106,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in names}
 
 
+_RECORDS = "(SELECT DISTINCT 'clause' AS record_kind, clause_uid AS record_uid, text FROM iso_clauses UNION SELECT DISTINCT 'section', section_uid, raw_text FROM parsed_sections)"
+_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": rf"""WITH w AS (SELECT record_kind, record_uid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {_RECORDS} WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT record_kind, record_uid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+        n AS (SELECT record_kind, record_uid, count(*) AS n FROM s GROUP BY 1, 2),
+        p AS (SELECT a.record_kind, a.record_uid AS uid_a, b.record_uid AS uid_b, count(*) AS c FROM s a JOIN s b ON a.record_kind = b.record_kind AND a.g = b.g AND a.record_uid < b.record_uid GROUP BY 1, 2, 3)
+        SELECT p.record_kind, uid_a, uid_b FROM p JOIN n x ON p.record_kind = x.record_kind AND uid_a = x.record_uid JOIN n y ON p.record_kind = y.record_kind AND uid_b = y.record_uid WHERE c >= 0.5 * (x.n + y.n - c)""",
+        "p6_found": rf"SELECT DISTINCT record_kind, record_uid FROM {_RECORDS} WHERE len(regexp_extract_all(text, '[^{_SPACES}]+')) > 600",
+    }

@@ -4,6 +4,8 @@ import pytest
 
 from clauseworks.llm import catalog
 
+from oracle import difference
+
 SMALL = "/root/testdata/sf0.001"
 TABLES = "iso_norms iso_clauses keyword_registry term_probes parsed_sections parsed_documents documents source_targets container_specs".split()
 
@@ -28,3 +30,8 @@ def test_runs_and_repeats(spark, name):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_empty_tables(spark, empty, name):
     assert catalog.queries()[name](spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_matches_its_sql(spark, name):
+    assert difference(spark, SMALL, catalog.queries()[name], catalog.oracle_sql()[name]) is None
