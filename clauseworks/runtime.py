@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="clauseworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
