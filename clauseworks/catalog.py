@@ -49,10 +49,10 @@ def _clauses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "iso_clauses").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause_uid").distinct()
 
 
-def _sections(spark: SparkSession, d: str) -> DataFrame:
-    """Each section once, as last delivered."""
-    rows = table(spark, d, "parsed_sections")
-    return registry.last_delivery(rows, ["section_uid"], "ingested_at")
+def _sections(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """section_uid and some columns of each section once, as last delivered; only these columns are read and shuffled."""
+    rows = table(spark, d, "parsed_sections").select("section_uid", "ingested_at", *columns)
+    return registry.last_delivery(rows, ["section_uid"], "ingested_at").drop("ingested_at")
 
 
 _SECTIONS = "(SELECT * FROM parsed_sections QUALIFY row_number() OVER (PARTITION BY section_uid ORDER BY ingested_at DESC) = 1)"
@@ -201,7 +201,7 @@ def norm_ids(spark, d):
     rf"""SELECT section_uid, n, CASE WHEN n = 0 THEN 0.55 WHEN n < 40 THEN 0.75 WHEN n < 120 THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM (SELECT section_uid, length(trim(coalesce(raw_text, ''))) AS n FROM {_SECTIONS})"""
 )
 def section_confidence(spark, d):
-    rows = _sections(spark, d).select("section_uid", F.length(F.trim(F.coalesce("raw_text", F.lit("")))).cast("long").alias("n"), T.extraction_confidence("raw_text").alias("confidence"))
+    rows = _sections(spark, d, "raw_text").select("section_uid", F.length(F.trim(F.coalesce("raw_text", F.lit("")))).cast("long").alias("n"), T.extraction_confidence("raw_text").alias("confidence"))
     return rows
 
 
@@ -390,7 +390,7 @@ _TYPE = "CASE " + " ".join(f"WHEN {_CONTAINS('t', f)} THEN '{n}'" for n, f in se
 
 @query(f"SELECT section_uid, {_TYPE} AS type FROM (SELECT section_uid, lower(coalesce(title, '')) AS t, lower(coalesce(title, '') || chr(10) || coalesce(raw_text, '')) AS b FROM {_SECTIONS})")
 def section_types(spark, d):
-    return _sections(spark, d).select("section_uid", segment.section_type(F.coalesce("title", F.lit("")), F.coalesce("raw_text", F.lit(""))).alias("type"))
+    return _sections(spark, d, "title", "raw_text").select("section_uid", segment.section_type(F.coalesce("title", F.lit("")), F.coalesce("raw_text", F.lit(""))).alias("type"))
 
 
 @query(
@@ -399,12 +399,12 @@ def section_types(spark, d):
     SELECT doc_id, tier, min_confidence, tier = 'C' OR min_confidence < 0.65 AS low FROM r"""
 )
 def document_quality(spark, d):
-    return segment.quality(_sections(spark, d), "doc_id")
+    return segment.quality(_sections(spark, d, "doc_id", "raw_text", "extraction_confidence"), "doc_id")
 
 
 @query(f"SELECT doc_id, section_id FROM (SELECT *, trim(coalesce(raw_text, '')) = '' AS blank FROM {_SECTIONS}) QUALIFY NOT blank OR sum(blank::INT) OVER (PARTITION BY doc_id, title) < 2")
 def kept_sections(spark, d):
-    rows = _sections(spark, d).withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    rows = _sections(spark, d, "doc_id", "section_id", "title", "raw_text").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
     return segment.drop_repeated_empty(rows, "doc_id").select("doc_id", "section_id")
 
 
@@ -424,7 +424,7 @@ def plain_sections(spark, d):
     f"""SELECT company_id, doc_id, section_id, row_number() OVER (PARTITION BY company_id, doc_id ORDER BY page_start, section_id) AS position FROM {_SECTIONS} WHERE company_id = 'CMP-0007'"""
 )
 def tenant_sections(spark, d):
-    rows = _sections(spark, d).filter("company_id = 'CMP-0007'")
+    rows = _sections(spark, d, "company_id", "doc_id", "section_id", "page_start").filter("company_id = 'CMP-0007'")
     order = Window.partitionBy("company_id", "doc_id").orderBy("page_start", "section_id")
     return rows.select("company_id", "doc_id", "section_id", F.row_number().over(order).alias("position"))
 
@@ -456,7 +456,7 @@ def font_levels(spark, d):
     SELECT count(*) AS lines, count(DISTINCT section_uid) AS sections FROM l"""
 )
 def section_lines(spark, d):
-    rows = layout.page_lines(_sections(spark, d), "section_uid", "page_start", "raw_text")
+    rows = layout.page_lines(_sections(spark, d, "page_start", "raw_text"), "section_uid", "page_start", "raw_text")
     return rows.agg(F.count("*").alias("lines"), F.countDistinct("doc").alias("sections"))
 
 
@@ -505,7 +505,7 @@ _RUNS = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N
     f"""SELECT section_uid, round(len(list_filter(e, lambda w: list_contains(t, w))) / nullif(len(e), 0), 6) AS overlap FROM (SELECT section_uid, {_RUNS('title')} AS e, {_RUNS('raw_text')} AS t FROM {_SECTIONS})"""
 )
 def evidence_overlap(spark, d):
-    return _sections(spark, d).select("section_uid", F.round(pages.evidence_overlap(F.col("title"), F.col("raw_text")), 6).alias("overlap"))
+    return _sections(spark, d, "title", "raw_text").select("section_uid", F.round(pages.evidence_overlap(F.col("title"), F.col("raw_text")), 6).alias("overlap"))
 
 
 def queries() -> dict[str, Query]:

@@ -33,10 +33,10 @@ def tfidf_keywords(chunks: DataFrame, key: str, column: str = "text", top: int =
 def bm25_vectors(chunks: DataFrame, key: str, tokens: str = "tokens", k1: float = K1, b: float = B) -> DataFrame:
     """key, idx, weight: BM25 weights by hashed token, summed where tokens collide; non-positive weights dropped."""
     long = chunks.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avg"))
+    n, mean = chunks.agg(F.count("*"), F.avg(F.size(tokens))).first()
     df = long.groupBy("token").agg(F.count("*").alias("df"))
-    w = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.coalesce("avg", F.lit(1.0))))
-    weighted = long.join(df, "token").join(F.broadcast(stats)).withColumn("weight", w).filter("weight > 0")  # stats is one row
+    w = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
+    weighted = long.join(df, "token").withColumn("weight", w).filter("weight > 0")
     return weighted.groupBy(key, T.token_index("token").alias("idx")).agg(F.sum("weight").alias("weight"))
 
 

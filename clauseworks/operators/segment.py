@@ -25,7 +25,7 @@ def spans(documents: DataFrame, key: str = "parsed_id") -> DataFrame:
     A span ends where the next heading starts; text before the first heading is a preamble (pos -1); a false heading is absorbed
     by the span before it.
     """
-    d = documents.select(key, F.length("markdown").alias("n"), F.substring("markdown", 1, 1_000_000_000).alias("markdown"), F.filter("heading_positions", lambda h: ~F.trim(h["text"]).rlike(FALSE_HEADING)).alias("h"))
+    d = documents.select(key, F.length("markdown").alias("n"), "markdown", F.filter("heading_positions", lambda h: ~F.trim(h["text"]).rlike(FALSE_HEADING)).alias("h"))
     heads = d.select(key, "n", F.posexplode("h").alias("pos", "head"))
     order = Window.partitionBy(key).orderBy("pos")
     title = F.trim("head.text")
