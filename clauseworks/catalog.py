@@ -508,8 +508,19 @@ def evidence_overlap(spark, d):
     return _sections(spark, d, "title", "raw_text").select("section_uid", F.round(pages.evidence_overlap(F.col("title"), F.col("raw_text")), 6).alias("overlap"))
 
 
+#: Ranks and positions that the SQL gives as 64-bit integers.
+_LONGS = {
+    "clause_menu": ["position"], "tfidf_keywords": ["rank"], "dense_top_k": ["rank"], "sparse_top_k": ["rank"], "hybrid_top_k": ["rank"], "hit_rate": ["first_rank"], "reranked": ["place"], "clause_spans": ["pos", "level", "end_idx"],
+    "clause_tree": ["pos", "parent_pos"], "duplicate_clauses": ["pos"], "page_of_span": ["pos"], "tenant_sections": ["position"], "font_levels": ["level"],
+}
+
+
+def _widened(run: Query, names: list[str]) -> Query:
+    return lambda spark, d: run(spark, d).withColumns({c: F.col(c).cast("long") for c in names})
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _widened(run, _LONGS[name]) if name in _LONGS else run for name, run in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

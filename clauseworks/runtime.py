@@ -47,12 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed by sweep()."""
+    path = f"{shared_dir(spark).rstrip('/')}/clauseworks-{uuid.uuid4().hex}/{name}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/clauseworks-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

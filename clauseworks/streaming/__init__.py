@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.registry import last_delivery
-from ..runtime import shared_dir
+from ..runtime import scratch
 
 
 def upsert_stream(source: DataFrame, keys: Sequence[str], version: str, folder: str, checkpoint: str) -> None:
@@ -43,7 +42,7 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour
 
 def drain(spark: SparkSession, path: str, schema, keys: Sequence[str], version: str) -> DataFrame:
     """A folder or file drained through upsert_stream into the shared folder; the resulting table."""
-    base = f"{shared_dir(spark).rstrip('/')}/clauseworks-stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         source = spark.readStream.schema(schema).option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
