@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import corpus, layout, pages, registry, retrieval, segment
-from .runtime import table
+from .runtime import table, widen
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -258,7 +258,7 @@ def bm25_vectors(spark, d):
 )
 def vocabulary_hits(spark, d):
     words = table(spark, d, "keyword_registry").select(F.explode("keywords").alias("form")).filter("form like '% %' and form not like '% % % % %'").select(F.lower("form").alias("canonical"), "form")
-    return corpus.vocabulary_hits(table(spark, d, "documents"), "doc_id", "text", words)
+    return corpus.vocabulary_hits(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", words)
 
 
 # ---------------------------------------------------------------- retrieval
@@ -416,7 +416,7 @@ def kept_sections(spark, d):
 )
 def plain_sections(spark, d):
     headings = table(spark, d, "iso_clauses").select(F.col("clause_title").alias("title"))
-    rows = segment.plain_sections(table(spark, d, "documents"), headings, "doc_id", "text")
+    rows = segment.plain_sections(widen(table(spark, d, "documents").select("doc_id", "text")), headings, "doc_id", "text")
     return rows.select("doc_id", "section_no", "title", F.length("raw_text").cast("long").alias("chars"))
 
 
@@ -485,7 +485,7 @@ _NAMES = ["ref.", "réf.", "rif.", "issue", "édition", "ausgabe", "edición", "
     SELECT doc_id, name, arg_max(CASE WHEN value <> '' THEN value ELSE nxt END, no) AS value FROM v WHERE list_contains({_list(_NAMES)}, name) AND (value <> '' OR (NOT contains(nxt, ':') AND length(nxt) <= 120)) GROUP BY 1, 2"""
 )
 def key_values(spark, d):
-    return pages.key_values(table(spark, d, "documents"), "doc_id", "text", _NAMES)
+    return pages.key_values(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _NAMES)
 
 
 @query(

@@ -44,7 +44,11 @@ def words(text: Column | str) -> Column:
 
 def terms(text: Column | str) -> Column:
     """Words, then the pairs of neighbouring words."""
-    w = words(text)
+    return with_pairs(words(text))
+
+
+def with_pairs(w: Column) -> Column:
+    """An array of words, then the pairs of its neighbours; the array should be a column by then, as it is used several times."""
     n = F.size(w)
     pairs = F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return F.concat(w, pairs)

@@ -13,7 +13,8 @@ K1, B = 1.2, 0.75
 
 def term_counts(chunks: DataFrame, key: str, column: str = "text") -> DataFrame:
     """key, term, tf: map-side combined counts of words and word pairs."""
-    return chunks.select(key, F.explode(T.terms(F.coalesce(column, F.lit(""))))).groupBy(key, F.col("col").alias("term")).agg(F.count("*").alias("tf"))
+    words = chunks.select(key, T.words(F.coalesce(column, F.lit(""))).alias("w"))
+    return words.select(key, F.explode(T.with_pairs(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def inverse_document_frequency(counts: DataFrame, n: int) -> DataFrame:
@@ -56,8 +57,7 @@ def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame, l
     """
     w = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     words = texts.select(key, w.alias("w"))
-    grams = None
-    for n in range(1, longest + 1):
-        one = words.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(_sequences("w", n))).alias("form"))
-        grams = one if grams is None else grams.unionByName(one)
+    none = F.array().cast("array<string>")
+    runs = F.concat(*[F.when(F.size("w") >= n, _sequences("w", n)).otherwise(none) for n in range(1, longest + 1)])
+    grams = words.select(key, F.explode(F.array_distinct(runs)).alias("form"))
     return grams.join(forms.select("canonical", F.lower("form").alias("form")).distinct(), "form").select(key, "canonical").distinct()
