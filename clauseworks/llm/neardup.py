@@ -1,9 +1,9 @@
 """Problem 4: near-duplicate records with small edits.
 
 Method: LSH forest. Every record gets a min-hash signature of its set of three-word sequences; TREES sorted orders of signature
-prefixes put similar records next to each other. In each order the records that share the longest common prefixes are candidates:
-a region starts at prefix depth SHALLOW and, where it holds more than REGION records, is split deeper, up to DEEP. What is still
-crowded at DEEP is compared in blocks. Candidates pass a bit sketch and then an exact check of the sequence sets.
+prefixes put similar records next to each other. In each order all records that share a prefix of depth SHALLOW, a region, are
+candidates: every pair of a region is compared, where it is large or equal up to DEEP in blocks. At similarity j a pair meets in
+1 - (1 - j^SHALLOW)^TREES of the cases, 99.2 % at 0.5. Candidates pass a bit sketch and then an exact check of the sequence sets.
 
 Records with equal sets form one class before the forest, so that copies never crowd an order; links hold between class
 representatives, and copies are joined to them through the membership. Null, blank and short records (under LEAST_WORDS) are in no
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from ..runtime import over_batches, settle, widen
 
 WORDS_IN_SEQUENCE, SIMILAR, LEAST_WORDS = 3, 0.5, 40
-HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 20, 6, 3, 6, 9
-#: Records of a region compared with each other; larger regions are split deeper, and at the end in blocks of this size.
-REGION = 32
+HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 36, 3, 3, 6, 9
+#: Records of a region always compared where they lie; above it a region that is equal up to DEEP goes in blocks.
+REGION = 48
+#: Records of the largest region compared where it lies; a larger one goes in blocks of BLOCK records.
+DIRECT, BLOCK = 512, 256
 #: Sketch bits of HASHES that must agree; at a similarity of j the share (1 + j) / 2 of them does. Lower lets more unlike pairs reach the exact check.
-SKETCH = 86
+SKETCH = 80
 #: Classes of more copies than this are linked through their representative only (see p4_groups for their members).
 COPIES = 1000
 #: Ids of candidate records that may be broadcast; beyond it their texts are found by a shuffled join.
@@ -146,30 +148,31 @@ def _runs(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def neighbours(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Index pairs (i < j) of records in one region each, in sorted keys; and the crowded runs left at the greatest depth."""
-    left, right, crowded = [], [], []
-    todo = np.ones(len(keys), bool)
-    for depth in range(SHALLOW, DEEP + 1):
-        starts, sizes = _runs(keys, depth)
-        fit = todo[starts] & (sizes <= REGION)
-        for size in np.unique(sizes[fit & (sizes > 1)]):
-            at = starts[fit & (sizes == size)]
-            i, j = np.triu_indices(size, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-        for a, n in zip(starts[fit], sizes[fit]):
-            todo[a : a + n] = False
-        if depth == DEEP:
-            crowded = [(int(a), int(n)) for a, n in zip(starts[~fit & todo[starts]], sizes[~fit & todo[starts]])]
-        if not todo.any():
-            break
+def neighbours(keys: np.ndarray, opened: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Index pairs (i < j) of records in one region each, in sorted keys; and the crowded regions, whose pairs are left to blocks.
+
+    opened: the prefix of a region of which other parts are in blocks already.
+    """
+    left, right = [], []
+    starts, sizes = _runs(keys, SHALLOW)
+    equal = keys[starts] == keys[starts + sizes - 1]
+    blocks = (sizes > DIRECT) | (equal & (sizes > REGION))
+    if opened is not None:
+        blocks |= keys[starts] >> _TAIL == opened
+    for size in np.unique(sizes[~blocks & (sizes > 1)]):
+        at = starts[~blocks & (sizes == size)]
+        i, j = np.triu_indices(size, 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    crowded = [(int(a), int(n)) for a, n in zip(starts[blocks], sizes[blocks])]
     none = np.zeros(0, np.int64)
     return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none), crowded
 
 
+#: Bits of a key below the prefix of its region.
+_TAIL = LEVEL_BITS * (DEEP - SHALLOW)
 _PAIRS = ["a_kind", "a", "b", "region", "ids", "k1", "k2"]
-#: Rows that one open region may hold in memory before it is split where it stands.
+#: Rows that one open region may hold in memory before they are put in blocks and the region is read on.
 OPEN = 2_000_000
 
 
@@ -177,10 +180,10 @@ def _sweep(batches):
     """Walk a partition in key order; yield sketch-approved pairs, and crowded regions in blocks."""
     longs = pa.list_(pa.int64())
 
-    def work(rows):
+    def work(rows, opened):
         key, packed, s1, s2 = rows
         kind, uid = packed & 1, packed >> 1
-        i, j, crowded = neighbours(key)
+        i, j, crowded = neighbours(key, opened)
         out = [[], [], []]
         for a in range(0, len(i), 1 << 20):
             x, y = i[a : a + (1 << 20)], j[a : a + (1 << 20)]
@@ -199,13 +202,13 @@ def _sweep(batches):
             blocks = []
             for a, n in crowded:
                 at = np.arange(a, a + n)[kind[a : a + n] == k]
-                blocks += [(int(key[a]), uid[at[c : c + REGION]].tolist(), s1[at[c : c + REGION]].tolist(), s2[at[c : c + REGION]].tolist()) for c in range(0, len(at), REGION)]
+                blocks += [(int(key[a] >> _TAIL), uid[at[c : c + BLOCK]].tolist(), s1[at[c : c + BLOCK]].tolist(), s2[at[c : c + BLOCK]].tolist()) for c in range(0, len(at), BLOCK)]
             if blocks:
                 r, ids, k1, k2 = zip(*blocks)
                 empty = pa.nulls(len(blocks)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), pa.int32()), empty, empty, pa.array(r, pa.int64()), pa.array(ids, longs), pa.array(k1, longs), pa.array(k2, longs)], _PAIRS)
 
-    carry = None
+    carry = opened = None
     for b in batches:
         new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         rows = new if carry is None else [np.concatenate(x) for x in zip(carry, new)]
@@ -213,14 +216,15 @@ def _sweep(batches):
             continue
         starts, _ = _runs(rows[0], SHALLOW)
         cut = starts[-1]
-        if len(rows[0]) - cut > OPEN:
-            starts, _ = _runs(rows[0], DEEP)
-            cut = starts[-1] if starts[-1] else len(rows[0])
         if cut:
-            yield from work([c[:cut] for c in rows])
+            yield from work([c[:cut] for c in rows], opened)
         carry = [c[cut:] for c in rows]
+        if len(carry[0]) > OPEN:
+            opened = int(carry[0][0] >> _TAIL)
+            yield from work(carry, opened)
+            carry = None
     if carry is not None and len(carry[0]):
-        yield from work(carry)
+        yield from work(carry, opened)
 
 
 def _block_pairs(batches):

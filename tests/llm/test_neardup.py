@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from clauseworks.llm import neardup as N
 
@@ -81,6 +82,29 @@ def test_neighbours_split_regions_by_depth():
     assert crowded == [(0, N.REGION + 5)]
 
 
+def family(n=300, length=300, changed=0.057, seed=8):
+    """Texts of one origin; two of them have about half of their sequences in common."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(length)]
+    return [(u, " ".join(f"x{u}y{i}" if rng.random() < changed else w for i, w in enumerate(words))) for u in range(1, n + 1)]
+
+
+def test_large_family_near_the_limit(spark):
+    rows = family()
+    got = {(r["uid_a"], r["uid_b"]) for r in N.similar_pairs(records(spark, rows)).collect()}
+    want = brute(rows)
+    print("recall", len(got & want) / len(want), len(want))
+    assert len(want) > 20000 and got <= want and len(got) >= 0.985 * len(want)
+
+
+def test_parts_of_an_open_region_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "OPEN", 40)
+    key = np.array([[7 << N._TAIL | i for i in range(100)], range(0, 200, 2), [5] * 100, [9] * 100], np.int64)
+    parts = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 25]) for c in key], ["key", "packed", "s1", "s2"]) for a in range(0, 100, 25)]
+    rows = [r for b in N._sweep(iter(parts)) for r in b.to_pylist()]
+    assert {r["region"] for r in rows} == {7} and sorted(u for r in rows for u in r["ids"]) == list(range(100))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(0, i, i + 1) for i in range(1, 40)] + [(1, 7, 9)], "kind int, a long, b long")
     got = {(r["kind"], r["uid"]): r["root"] for r in N.components(edges).collect()}
