@@ -19,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import over_batches, settle
@@ -31,6 +31,8 @@ RATIO = 12
 DIM, NEGATIVE, WINDOW, ROUNDS = 16, 5, 2, 3
 #: Least agreement (mean of vector products, in nats above chance) of the context with the correction.
 AGREES = -0.5
+#: Evidence (agreement and log of the frequency ratio, less the glyph edits) from which a single correction, or one of a very short word, stands by itself; the word meant must then be 4 * RATIO times as frequent.
+SURE = 4.0
 
 # ---------------------------------------------------------------- furniture, hyphens, reflow
 _PAGE = r"(?:page|seite|página|pagina|pág|pag|p|s|blatt|folio)\.?"
@@ -142,7 +144,10 @@ def _flow(text: str) -> str:
 
 
 # ---------------------------------------------------------------- words and glyphs
-_TOKEN = re.compile(r"[^\W_]+(?:[@¢†|!($£€]+[^\W_]+)*")
+# Odd glyphs also count at a word's edge where they can't be a mark of the text: a bracket that nothing closes, an exclamation mark before a small letter.
+_TOKEN = re.compile(
+    r"(?:(?:(?<![^\s'’(])[@¢†|!$£€]+|(?<!\S)\((?![^()\n]{0,300}\)))(?=[^\W\d_]))?[^\W_]+(?:[@¢†|!($£€]+[^\W_]+)*(?:(?<=[^\W\d_])(?:[@¢†|$£€]+(?![^\s.,;:)])|!+(?=[ \n]+[^\W\d_A-ZÀ-Þ])))?"
+)
 _CODE = re.compile(r"^(?:[A-Z]{0,4}\d[\dA-Z]*|\d+[^\W\d_]{0,2}|[A-Z]\d+)$")
 
 # What a glyph is taken for when characters are misrecognised. Each key may stand in place of any of its values.
@@ -272,17 +277,17 @@ def _verify(batches):
     for b in batches:
         seen, meant = b.column(0).to_pylist(), b.column(1).to_pylist()
         cost = [glyph_cost(a, z) for a, z in zip(seen, meant)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cost, pa.int32())], ["word", "meant", "cost"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cost, pa.int32())], ["word", "meant", "ratio", "cost"])
 
 
 def glyph_links(words: DataFrame, frequent: DataFrame) -> DataFrame:
-    """word, meant (array): the far more frequent words that plausible glyph edits turn into the word."""
+    """word, meant (array of meant, cost, ratio): the far more frequent words that plausible glyph edits turn into the word."""
     odd = F.col("word").rlike("[^\\p{L}]")
-    rare = words.filter((F.length("word") >= 4) | ((F.length("word") >= 3) & odd & ~F.col("word").rlike("^\\p{L}\\d+$")))
+    rare = words.filter((F.length("word") >= 3) | ((F.length("word") >= 2) & odd)).filter(~F.col("word").rlike("^(\\p{L}\\d+|\\p{L}{2}\\d)$"))
     known = frequent.filter((F.length("word") >= 2) & ~F.col("word").rlike("[^\\p{L}]")).select(F.col("word").alias("meant"), F.col("n").alias("many"), "skeleton")
-    pairs = rare.join(known, "skeleton").filter((F.col("word") != F.col("meant")) & (F.col("many") >= RATIO * F.col("n"))).select("word", "meant")
-    checked = over_batches(pairs, _verify, "word string, meant string, cost int").filter("cost <= 6")
-    return settle(checked.groupBy("word").agg(F.sort_array(F.collect_set("meant")).alias("meant")), "links")
+    pairs = rare.join(known, "skeleton").filter((F.col("word") != F.col("meant")) & (F.col("many") >= RATIO * F.col("n"))).select("word", "meant", (F.col("many") / F.col("n")).alias("ratio"))
+    checked = over_batches(pairs, _verify, "word string, meant string, ratio double, cost int").filter("cost <= 6")
+    return settle(checked.groupBy("word").agg(F.sort_array(F.collect_set(F.struct("meant", "cost", "ratio"))).alias("meant")), "links")
 
 
 def _context(batches, vocabulary: dict[str, int]):
@@ -379,18 +384,24 @@ def learn_vectors(pairs: DataFrame, unigram: np.ndarray) -> tuple[np.ndarray, np
 def _agree(batches, state, index: dict[str, int]):
     v, u = (np.asarray(x, np.float32) for x in state)
     for b in batches:
-        out = ([], [], [], [])
+        out = ([], [], [], [], [], [])
         for uid, word, around, meant in zip(*(b.column(i).to_pylist() for i in range(4))):
             ctx = u[around].mean(0) if around else None
-            best = max(((float(v[index[m]] @ ctx) + np.log(NEGATIVE) if ctx is not None else 0.0, m) for m in meant), key=lambda x: (x[0], x[1]))
+            best = max(((float(v[index[m["meant"]]] @ ctx) + np.log(NEGATIVE) if ctx is not None else 0.0, m["meant"], m["cost"], m["ratio"]) for m in meant), key=lambda x: (x[0], x[1]))
             if best[0] >= AGREES:
-                for c, x in zip(out, (uid, word, best[1], best[0])):
+                for c, x in zip(out, (uid, word, best[1], best[0], best[2], best[3])):
                     c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], ["section_uid", "word", "meant", "agreement"])
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), ["section_uid", "word", "meant", "agreement", "cost", "ratio"])
+
+
+def sure() -> Column:
+    """Whether a correction's own evidence decides it."""
+    return (F.col("cost") <= 2) & (F.col("ratio") >= 4 * RATIO) & (F.col("agreement") >= 0) & (F.col("agreement") + F.log("ratio") - F.col("cost") >= SURE)
 
 
 def corrections(clean: DataFrame) -> DataFrame:
-    """section_uid, word, meant, agreement: each occurrence of a misread word with what it stands for in its context."""
+    """section_uid, word, meant, agreement, cost, ratio: each occurrence of a misread word with what it stands for in its context."""
     spark = clean.sparkSession
     words = word_table(clean)
     total = words.agg(F.sum("n")).first()[0] or 0
@@ -404,14 +415,16 @@ def corrections(clean: DataFrame) -> DataFrame:
     state = learn_vectors(found.filter("a is not null").select("a", "b", "n"), np.array([float(n) for _, n in vocabulary]))
     model = spark.sparkContext.broadcast((state, index))
     doubts = found.filter("section_uid is not null").select("section_uid", "word", "around").join(links, "word").select("section_uid", "word", "around", "meant")
-    return over_batches(doubts, lambda batches: _agree(batches, *model.value), "section_uid long, word string, meant string, agreement double")
+    agreed = over_batches(doubts, lambda batches: _agree(batches, *model.value), "section_uid long, word string, meant string, agreement double, cost int, ratio double")
+    odd = F.col("word").rlike("[^\\p{L}]")
+    return agreed.filter((F.length("word") >= 4) | ((F.length("word") >= 3) & odd) | sure())
 
 
 def damage(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Damaged sections (section_uid, furniture, cuts, misread) and their corrections."""
     fixes = settle(corrections(clean), "corrections")
     odd = F.col("word").rlike("[^\\p{L}]").cast("int")
-    misread = fixes.groupBy("section_uid").agg(F.count("*").alias("n"), F.sum(odd).alias("odd")).filter("n >= 2 or odd >= 1").select("section_uid", F.col("n").alias("misread"))
+    misread = fixes.groupBy("section_uid").agg(F.count("*").alias("n"), F.sum(odd).alias("odd"), F.max(sure()).alias("sure")).filter("n >= 2 or odd >= 1 or sure").select("section_uid", F.col("n").alias("misread"))
     broken = clean.filter("furniture > 0 or cuts > 0").select("section_uid", "furniture", "cuts")
     both = broken.join(misread, "section_uid", "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

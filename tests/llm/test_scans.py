@@ -55,6 +55,20 @@ def test_found_and_repaired(spark, sections, corpus):
     assert len(got) == len({u for u, _ in corpus if u is not None})
 
 
+def test_single_corrections_and_short_words(spark, sections, corpus):
+    texts = {10: "The laboratory shall archivc the calibration certificate of the balance.", 11: "Each subcontractor shall sign tbe permit before the shift.", 12: "The line operator shal| verify the pressure of the dosing pump.", 13: "Each subcontractor shall sign the permit !n the shift."}
+    rows = [(u, texts.get(u, t + " The record is kept in the log." if u and t and u < 400 and u != 7 else t)) for u, t in corpus]
+    hurt, _ = S.damage(S.cleaned(sections(rows)))
+    assert sorted(r["section_uid"] for r in hurt.collect()) == [7, 8, 10, 11, 12, 13]
+    got = {r["section_uid"]: r["text"] for r in S.repair(sections(rows)).collect()}
+    assert [got[u] for u in (10, 11, 12, 13)] == [OPEN[3], OPEN[2], OPEN[0], "Each subcontractor shall sign the permit in the shift."]
+
+
+@pytest.mark.parametrize("text,words", [("wil| be, !n use", ["wil|", "be", "!n", "use"]), ("Stop! (see note) $40 a 12€ (ontrol", ["stop", "see", "note", "a", "(ontrol"]), ("Stop! Then | next", ["stop", "then", "next"])])
+def test_odd_glyphs_at_edges(text, words):
+    assert S.tokens(text) == words
+
+
 def test_empty(spark, sections):
     assert S.repair(sections([])).count() == 0
     assert S.damage(S.cleaned(sections([(1, None)])))[0].count() == 0
