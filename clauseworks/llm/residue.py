@@ -2,8 +2,10 @@
 
 Method: mask numbers, addresses and dates of every text segment, group the exact hashes of the normalised segments across
 sources, and classify: a placeholder in the place of a value, a template directive and filler are residue wherever they stand; a
-message in the wording of an error, access or script notice is residue when its whole segment is that message, or when the
-masked segment recurs in several documents.
+message in the wording of an error, access or script notice is residue when its segment begins as that message. Segments that
+hold such wording further inside, or address the reader about scripts, cookies, browsers or servers, are residue when the same
+masked segment recurs in several documents, of one source or of many. As the rules look at the segment alone, they are asked
+first, and only the segments they name are hashed and counted.
 
 Rules read whole texts. Marks in quotation are spoken of, not left over, and are no residue. Null, blank and short genuine texts
 are never residue; every row of an input with repeated ids counts once in the result.
@@ -82,6 +84,8 @@ MESSAGE = re.compile(
         ]
     )
 )
+#: The same wording anywhere in a segment: it must also recur.
+PHRASE = re.compile(re.sub(r"(^|\|)\^", r"\1\\b", MESSAGE.pattern))
 #: Loose wording: the masked segment must also recur.
 LOOSE = re.compile(r"\b(?:javascript|cookies?|scripts?|browser|navigateur|navegador|server|serveur|servidor)\b", re.I)
 ADDRESSES = re.compile(r"\b(?:please|your|veuillez|merci de|votre|vos|bitte|ihre?[mnrs]?|por favor|sus?|si prega|(?:il )?(?:tuo|suo|vostro))\b", re.I)
@@ -90,7 +94,7 @@ SPEAKS = re.compile(r"\b(?:auditor|auditeur|workstations?|postes|arbeitsplätzen
 _MARKS = ("{", "<", "[", "@@", "$", "%", "#", "«", "_____", "......", "???", "XXXX", "xxxx", "XX/", "XX.", "XX-", "JJ/", "JJ.", "JJ-", "DD/", "DD.", "DD-", "TT/", "TT.", "TT-", "GG/", "GG.", "GG-", "MM/", "MM.", "MM-", "AAAA", "YYYY", "TBD", "TODO", "FIXME")
 _FILLERS = ("ipsum", "dolor", "bla bla", "xxx", "text text", "asdf", "qwert", "test test", "texte texte", "texto texto", "testo testo", "blah", "dummy", "foo foo", "aaa aaa")
 _TRIGGERS = (
-    "javascript", "cookie", "server", "serveur", "servidor", "scripts", "skript", "richiede script", "browser", "navigateur", "navegador", "access denied", "accès refusé", "zugriff verw", "acceso denegado", "accesso negato", "do not have", "don't have",
+    "javascript", "cookie", "server", "serveur", "servidor", "script", "skript", "richiede script", "browser", "navigateur", "navegador", "access denied", "accès refusé", "zugriff verw", "acceso denegado", "accesso negato", "do not have", "don't have",
     "n'avez pas", "keine berechtigung", "no tiene perm", "no tiene auto", "no tiene derech", "non si dispone", "non dispone", "non hai", "non avete", "your session", "votre session", "sitzung ist", "su sesión", "sessione è", "sessione e", "sign in again", "log in again", "page you", "requested",
     "page que vous", "document demandé", "angefordert", "gesuchte", "solicitad", "página que busca", "cercata", "richiest", "error", "erreur", "fehler", "gateway", "not found", "forbidden", "unavailable", "indisponible", "nicht verfügbar", "no disponible", "non disponibile", "sorry", "oops", "oups", "ups,", "désolé", "leider",
     "lo sentimos", "spiacenti", "échec du", "traceback", "fault:", ".java:", "on line", "exception:", "try again", "réessayer", "versuchen sie", "más tarde", "più tardi", " here", "paragraphe d'exemple", "ejemplo", "esempio", "blindtext", "beispiel", "muster", "replace", "texte ici", "text ici", "ihr text",
@@ -158,12 +162,12 @@ def findings(text: str) -> list[tuple[str, str, bool]]:
     if triggers(low):
         for segment in _SPLIT.split(low):
             s = segment.strip(" \t*-•#>|")
-            if not 6 <= len(s) <= 240 or not triggers(s):
+            if len(s) < 6 or not triggers(s):
                 continue
             s = normalise(s)
             if MESSAGE.search(s):
                 out.append(("message", s, True))
-            elif LOOSE.search(s) and ADDRESSES.search(s) and not SPEAKS.search(s):
+            elif (LOOSE.search(s) and ADDRESSES.search(s) or PHRASE.search(s)) and not SPEAKS.search(s):
                 out.append(("message", s, False))
     return out
 
@@ -207,7 +211,7 @@ def recurring_messages(found: DataFrame) -> DataFrame:
 def detect_residue(documents: DataFrame) -> DataFrame:
     """doc_id, kinds: the documents that hold residue, each once, with the kinds found (sorted)."""
     found = settle(suspects(documents), "residue_suspects")
-    known = recurring_messages(found).filter(F.col("certain") | ((F.col("n_docs") >= RECURS_DOCS) & (F.col("n_sources") >= 2))).select("segment_hash")
+    known = recurring_messages(found).filter(F.col("certain") | (F.col("n_docs") >= RECURS_DOCS)).select("segment_hash")
     direct = found.filter("certain").select("doc_id", "kind")
     loose = found.filter("not certain").join(known, "segment_hash", "left_semi").select("doc_id", "kind")
     return direct.unionByName(loose).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

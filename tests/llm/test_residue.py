@@ -50,6 +50,18 @@ def test_loose_messages_need_to_recur(documents):
     assert sorted(r["doc_id"] for r in often.collect()) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("text", ["Please let the server draw your frame", "We regret that access denied", "Note for readers: your session has expired and must be renewed", "Bitte den Script Ihrer Seite starten", "Your portal wants " + "more " * 60 + "cookies"])
+def test_messages_recur_within_one_source(documents, text):
+    assert R.detect_residue(documents([(i, text, "qhse_portal") for i in range(3)])).count() == 3
+    assert R.detect_residue(documents([(i, text, None) for i in range(3)])).count() == 3
+    assert R.detect_residue(documents([(i, text, "qhse_portal") for i in range(2)] * 2)).count() == 0
+
+
+def test_long_segments_are_read():
+    text = "Traceback (most recent call last): " + "in handler of request " * 20
+    assert any(sure for _, _, sure in R.findings(text))
+
+
 def test_clean_set_keeps_all_columns(documents):
     docs = documents([(1, RESIDUE[0], "a"), (2, "Real text.", None), (3, None, "b")])
     left = R.without_residue(docs)
