@@ -27,6 +27,7 @@ LONG, SHORT, STOP_SHARE, LINK_SHARE = 140, 60, 0.18, 0.5
 # Names of HTML elements and of LaTeX commands.
 _TAGS = "a abbr address article aside b big blockquote body br button caption center cite code col colgroup dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video"
 _TAG = re.compile(rf"<(/?)({'|'.join(_TAGS.split())})(\s[^<>]*)?/?>", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8}\d?);")
 _COMMANDS = (
     "section subsection subsubsection chapter paragraph part title author item begin end emph textbf textit texttt textsc underline label ref cite citep citet footnote caption includegraphics usepackage documentclass maketitle"
@@ -72,8 +73,11 @@ _LATEX_ESCAPE = re.compile(r"\\([&%$#_{}])")
 _LIST = re.compile(r"^[ \t]*(?:[-*+•–]|\(?(?:\d{1,3}|[a-z])[.)]|[*#]{1,4})[ \t]+(?=\S)")
 _BREAK = re.compile(r"\n[ \t]*\n+")
 
-#: Private-use characters that mark what was set aside and where headings, items and rows begin.
-O, C, HEAD, ITEM, ROW = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: Private-use characters that mark what was set aside, where headings, items and rows begin, and where linked text begins and ends (first as read, then paired within lines).
+O, C, HEAD, ITEM, ROW, LINK, UNLINK, FROM, TO = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"
+_LINKED = re.compile(f"{LINK}([^{LINK}{UNLINK}]*){UNLINK}")
+_LINKED_LINE = re.compile(rf"(?m)^([ \t]*(?:{HEAD}\d|{ITEM}|{ROW})?[ \t]*)(\S[^\n]*)$")
+_MARKED = re.compile(f"{FROM}([^{FROM}{TO}]*){TO}")
 
 
 def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
@@ -81,7 +85,6 @@ def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     kinds: set[str] = set()
     kept: list[tuple[str, str]] = []
-    linked = 0
 
     def keep(kind: str, body: str, apart: bool = False) -> str:
         kept.append((kind, body))
@@ -136,9 +139,7 @@ def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
     take(_WIKI_TABLE, "wiki", lambda m: "\n\n" + "".join(f"{ROW}{' | '.join(c.strip() for c in re.split(r'[|!]{2}', re.sub(r'^[|!]', '', r.strip())))}\n" for r in m[1].split("\n") if r.strip() and not r.startswith("|-")) + "\n")
     take(_WIKI_HEADING, "wiki", lambda m: f"\n\n{HEAD}{len(m[1])}{m[2]}\n\n")
     take(_WIKI_CATEGORY, "wiki", lambda m: "")
-    before = len(t)
-    take(_WIKI_LINK, "wiki", lambda m: m[2])
-    linked += before - len(t)
+    take(_WIKI_LINK, "wiki", lambda m: f"{LINK}{m[2]}{UNLINK}")
     take(_TEMPLATE, "wiki", lambda m: m[2].split("|")[-1] if m[2] else "")
     for _ in range(2):
         take(_APOSTROPHES, "wiki", lambda m: m[2])
@@ -147,9 +148,9 @@ def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
     take(_MD_HEADING, "markdown", lambda m: f"\n\n{HEAD}{len(m[1])}{m[2]}\n\n")
     take(_MD_RULE, "markdown", lambda m: ROW)
     take(_SETEXT, "markdown", lambda m: f"\n\n{HEAD}{1 if m[2][0] == '=' else 2}{m[1].strip()}\n\n")
-    take(_LINK, "markdown", lambda m: m[1])
+    take(_LINK, "markdown", lambda m: m[1] if m[0][0] == "!" else f"{LINK}{m[1]}{UNLINK}")
     take(_LINK_REF, "markdown", lambda m: "")
-    take(_AUTOLINK, "markdown", lambda m: m[1])
+    take(_AUTOLINK, "markdown", lambda m: f"{LINK}{m[1]}{UNLINK}")
     take(_QUOTE, "markdown", lambda m: re.sub(r"(?m)^ {0,3}> ?", "", m[0]))
     for _ in range(2):
         take(_STARS, "markdown", lambda m: m[2])
@@ -168,6 +169,8 @@ def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
             return "\n" if closing else f"\n{ROW}"
         if name in ("td", "th"):
             return " | " if closing else ""
+        if name == "a":
+            return UNLINK if closing else LINK if _HREF.search(m[3] or "") else ""
         if name == "br":
             return "\n"
         if name in ("p", "div", "ul", "ol", "table", "blockquote", "section", "article", "header", "footer", "nav", "body", "html", "hr", "dl"):
@@ -177,6 +180,7 @@ def dissect(text: str) -> tuple[set[str], list[tuple[str, int, str, float]]]:
     t = _TAG.sub(tag, t)
     take(_ENTITY, "html", lambda m: None if html.unescape(m[0]) == m[0] else html.unescape(m[0]))
 
+    t = _LINKED.sub(lambda m: _LINKED_LINE.sub(rf"\1{FROM}\2{TO}", m[1]), t).replace(LINK, "").replace(UNLINK, "")
     return kinds, _blocks(t, kept)
 
 
@@ -189,33 +193,34 @@ def _blocks(t: str, kept: list[tuple[str, str]]) -> list[tuple[str, int, str, fl
         lines: list[str] = []
 
         def paragraph() -> None:
-            s = fill(" ".join(" ".join(lines).split()))
+            s, links = _link_share(fill(" ".join(" ".join(lines).split())))
             if s:
-                out.append(("paragraph", 0, s, _link_share(s)))
+                out.append(("paragraph", 0, s, links))
             lines.clear()
 
         for line in chunk.split("\n"):
             s = line.strip()
             if not s:
                 continue
-            alone = re.fullmatch(f"{O}(\\d+){C}", s)
+            alone = re.fullmatch(f"{FROM}?{O}(\\d+){C}{TO}?", s)
             if alone and kept[int(alone[1])][0] in ("code", "formula", "math"):
                 kind, body = kept[int(alone[1])]
                 paragraph()
                 out.append(("code" if kind == "code" else "formula", 0, body, 0.0))
             elif s[0] == HEAD:
                 paragraph()
-                out.append(("heading", int(s[1]) if s[1:2].isdigit() else 1, fill(s[2:].strip()), 0.0))
-            elif s[0] == ITEM or _LIST.match(line):
+                out.append(("heading", int(s[1]) if s[1:2].isdigit() else 1, _link_share(fill(s[2:].strip()))[0], 0.0))  # titles are often links to themselves
+            elif s[0] == ITEM or _LIST.match(line.replace(FROM, "")):
                 paragraph()
-                body = fill(s[1:].strip() if s[0] == ITEM else _LIST.sub("", line).strip())
+                lead = FROM if s[0] == FROM else ""
+                body, links = _link_share(fill(s[1:].strip() if s[0] == ITEM else lead + _LIST.sub("", line.replace(lead, "", 1)).strip()))
                 if body:
-                    out.append(("list_item", 0, body, _link_share(body)))
+                    out.append(("list_item", 0, body, links))
             elif s[0] == ROW or (s[0] == "|" and s.count("|") >= 2):
                 paragraph()
-                body = fill(s.strip(f"{ROW}| \t"))
+                body, links = _link_share(fill(s.strip(f"{ROW}| \t")))
                 if body:
-                    out.append(("table_row", 0, " | ".join(c.strip() for c in body.split("|")), 0.0))
+                    out.append(("table_row", 0, " | ".join(c.strip() for c in body.split("|")), links))
             else:
                 lines.append(s)
         paragraph()
@@ -225,8 +230,11 @@ def _blocks(t: str, kept: list[tuple[str, str]]) -> list[tuple[str, int, str, fl
 _URL = re.compile(r"https?://\S+|www\.\S+")
 
 
-def _link_share(s: str) -> float:
-    return sum(map(len, _URL.findall(s))) / max(len(s), 1)
+def _link_share(s: str) -> tuple[str, float]:
+    """The text without the marks of links, and the share of it that is linked or a bare address."""
+    plain = s.replace(FROM, "").replace(TO, "").strip() if FROM in s else s
+    linked = sum(len(x) for x in _MARKED.findall(s)) + sum(map(len, _URL.findall(_MARKED.sub(" ", s))))
+    return plain, linked / max(len(plain), 1)
 
 
 def label_blocks(blocks: list[tuple[str, int, str, float]]) -> list[str]:

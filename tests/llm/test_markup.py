@@ -42,6 +42,31 @@ def test_short_blocks_inherit():
     assert labels == ["content", "content", "furniture"]
 
 
+LONG = "The operator of the line shall keep the record of the pump in the archive and it is to be shown to the auditor on demand, as is the plan of the area and the list."
+MENUS = [
+    "- [Home](index.md)\n- [Search](search.md)\n- [Contact](contact.md)",
+    "* [[Start|Home]]\n* [[Suche|Search]]\n* [[Contact]]",
+    '<ul><li><a href="/">Home</a></li><li><a href="/s">Search</a><li><a href="/c">Contact\n</a></ul>',
+    "1. <http://a.example/home>\n2. [Search](s.md)\n3. [Contact](c.md)",
+]
+
+
+@pytest.mark.parametrize("menu", MENUS)
+def test_link_menus_are_furniture(menu):
+    blocks = M.dissect(f"{LONG}\n\n{menu}\n\n{LONG}")[1]
+    assert [k for k, *_ in blocks] == ["paragraph", "list_item", "list_item", "list_item", "paragraph"]
+    assert M.label_blocks(blocks) == ["content", "furniture", "furniture", "furniture", "content"]
+    assert [s for _, _, s, _ in blocks][2:4] == ["Search", "Contact"]
+
+
+def test_links_within_text_stay_content():
+    for text in (LONG.replace("record", "[record](r.md)"), LONG.replace("record", '<a href="r">record</a>'), f'<a name="top">{LONG}', f'<a href="r">{LONG}'):
+        (block,) = M.dissect(text)[1]
+        assert block[2] == LONG and block[3] < 0.1 and M.label_blocks([block]) == ["content"]
+    blocks = M.dissect("# [Scope](#scope)\n\n| [a](b) | the value of the pump |\n|---|---|\n| 1 | 2 |")[1]
+    assert [s for _, _, s, _ in blocks] == ["Scope", "a | the value of the pump", "1 | 2"] and set(M.label_blocks(blocks)) == {"content"}
+
+
 def test_convert_handles_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "# a", 5), (3, "# a", 5), (None, "# a", 5)], "parsed_id long, markdown string, kinds int")
     got = {r["parsed_id"]: r["kinds"] for r in M.convert(rows).collect()}
