@@ -261,6 +261,16 @@ def vocabulary_hits(spark, d):
     return corpus.vocabulary_hits(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", words)
 
 
+@query(
+    r"""SELECT DISTINCT doc_id, canonical FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents),
+    (SELECT DISTINCT lower(k) AS canonical, array_to_string(regexp_extract_all(lower(k), '[\p{L}\p{N}_]+'), ' ') AS form FROM (SELECT unnest(keywords) AS k FROM keyword_registry)) WHERE form <> '' AND contains(t, ' ' || form || ' ')"""
+)
+def keyword_hits(spark, d):
+    """vocabulary_hits over all keywords, of any number of words."""
+    words = table(spark, d, "keyword_registry").select(F.explode("keywords").alias("form")).distinct().select(F.lower("form").alias("canonical"), "form")
+    return corpus.vocabulary_hits(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", words)
+
+
 # ---------------------------------------------------------------- retrieval
 def _dense(spark, d, k=10):
     vectors = table(spark, d, "embeddings")

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+#: Vocabulary forms that may be broadcast; beyond it they meet the texts by a shuffled join.
+BROADCAST_FORMS = 300_000
 
 
 def term_counts(chunks: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -50,14 +52,21 @@ def _sequences(words: str, n: int):
     return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
 
-def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame, longest: int = 4) -> DataFrame:
+def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame) -> DataFrame:
     """key, canonical: vocabulary entries of which some form(canonical, form) stands as whole words in the text.
 
-    Forms meet the texts by an equi-join on word sequences of up to longest words, not by testing every form on every text.
+    Forms are cut into words as the texts are, and meet them by an equi-join on word sequences of every length that a form has, not
+    by testing every form on every text.
     """
-    w = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    words = texts.select(key, w.alias("w"))
+    cut = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    known = forms.select("canonical", cut("form").alias("f")).filter(F.size("f") > 0)
+    known = known.select("canonical", F.array_join("f", " ").alias("form"), F.size("f").alias("n")).distinct()
+    counts = dict(map(tuple, known.groupBy("n").count().collect()))
+    lengths, known = sorted(counts), known.drop("n")
+    if sum(counts.values()) <= BROADCAST_FORMS:
+        known = F.broadcast(known)
+    words = texts.select(key, cut(column).alias("w"))
     none = F.array().cast("array<string>")
-    runs = F.concat(*[F.when(F.size("w") >= n, _sequences("w", n)).otherwise(none) for n in range(1, longest + 1)])
+    runs = F.concat(none, *[F.when(F.size("w") >= n, _sequences("w", n)).otherwise(none) for n in lengths])
     grams = words.select(key, F.explode(F.array_distinct(runs)).alias("form"))
-    return grams.join(forms.select("canonical", F.lower("form").alias("form")).distinct(), "form").select(key, "canonical").distinct()
+    return grams.join(known, "form").select(key, "canonical").distinct()

@@ -128,6 +128,13 @@ def test_vocabulary_needs_whole_words(spark):
     assert [tuple(r) for r in corpus.vocabulary_hits(texts, "id", "t", forms).collect()] == [(1, "action")]
 
 
+def test_vocabulary_forms_of_any_length_and_with_marks(spark):
+    texts = spark.createDataFrame([(1, "The risk-based plan of the auditor's team covers every site of the group."), (2, "Plan, team."), (3, None)], "id long, t string")
+    forms = spark.createDataFrame([("a", "Risk-based plan"), ("b", "auditor's team"), ("c", "covers every site of the group"), ("d", "team"), ("e", "plan of team"), ("f", "-"), ("g", None)], "canonical string, form string")
+    assert sorted(map(tuple, corpus.vocabulary_hits(texts, "id", "t", forms).collect())) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "d")]
+    assert corpus.vocabulary_hits(texts, "id", "t", forms.limit(0)).count() == 0
+
+
 def test_edges_are_cut(spark):
     rows = [("d", p, f"ACME manual\nEdition 3 page {p}\nBody {chr(97 + p) * 8}\nmore {chr(107 + p) * 8}\nInternal use {p}") for p in range(1, 7)] + [("e", 1, "ACME manual\nBody"), ("e", 2, None)]
     df = spark.createDataFrame(rows, "doc string, page int, text string")
