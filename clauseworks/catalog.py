@@ -58,6 +58,14 @@ def _sections(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 _SECTIONS = "(SELECT * FROM parsed_sections QUALIFY row_number() OVER (PARTITION BY section_uid ORDER BY ingested_at DESC) = 1)"
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Each clause as a chunk with what registry.violations asks for."""
+    text = F.coalesce("text", F.lit(""))
+    return _clauses(spark, d).select(
+        F.concat("norm_id", F.lit("_"), "clause_number", F.lit("_part1_p1")).alias("chunk_id"), (F.col("has_requirements") == 1).alias("has_requirements"), T.modal_count(text, T.SHALL).alias("shall_count"), T.word_count(text).alias("token_count"), T.content_type(text).alias("content_type")
+    )
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_top_k(spark, d)
 
@@ -141,11 +149,52 @@ def merged_tables(spark, d):
     SELECT row_key, 'requirement_without_shall' AS rule, count(*) AS n FROM v WHERE req AND shall <= 0 GROUP BY 1"""
 )
 def chunk_violations(spark, d):
-    text = F.coalesce("text", F.lit(""))
-    rows = _clauses(spark, d).select(
-        F.concat("norm_id", F.lit("_"), "clause_number", F.lit("_part1_p1")).alias("chunk_id"), (F.col("has_requirements") == 1).alias("has_requirements"), T.modal_count(text, T.SHALL).alias("shall_count"), T.word_count(text).alias("token_count"), T.content_type(text).alias("content_type")
-    )
-    return registry.violations(rows).filter("rule = 'requirement_without_shall'").groupBy("row_key", "rule").agg(F.count("*").alias("n"))
+    return registry.violations(_chunks(spark, d)).filter("rule = 'requirement_without_shall'").groupBy("row_key", "rule").agg(F.count("*").alias("n"))
+
+
+# The four queries above and in scans keep samples (every second or third key, one rule, three norms); these run over whole tables.
+@query(
+    f"""SELECT clause_uid, norm_id, clause_number FROM {_CLAUSES} WHERE norm_id IN (SELECT norm_id FROM iso_norms WHERE norm_version <> '')
+    AND language = 'FR' AND top_level_family IN ('4', '8') AND has_requirements = 1"""
+)
+def versioned_clauses(spark, d):
+    """filtered_clauses for the norms of a stated version, as many as there are."""
+    norms = table(spark, d, "iso_norms").filter("norm_version <> ''").select("norm_id").distinct()
+    rows = registry.of_families(_clauses(spark, d), ["4", "8"]).filter("language = 'FR'")
+    return rows.join(norms, "norm_id", "left_semi").select("clause_uid", "norm_id", "clause_number")
+
+
+@query(
+    """SELECT norm_key, count(*) AS n, count(*) FILTER (has_requirements = 1) AS requirements FROM (SELECT DISTINCT clause_uid, norm_key, has_requirements FROM iso_clauses
+    WHERE norm_key NOT IN (SELECT norm_key FROM iso_norms WHERE language = 'FR') UNION ALL SELECT DISTINCT clause_uid, norm_key, 1 - has_requirements FROM iso_clauses
+    WHERE norm_key IN (SELECT norm_key FROM iso_norms WHERE language = 'FR')) GROUP BY 1"""
+)
+def replaced_deliveries(spark, d):
+    """replaced_norms over all clauses: a second delivery brings the French norms anew, with a changed column."""
+    rows = table(spark, d, "iso_clauses").select("clause_uid", "norm_key", "has_requirements").distinct()
+    french = table(spark, d, "iso_norms").filter("language = 'FR'").select("norm_key").distinct()
+    second = rows.join(french, "norm_key", "left_semi").select("clause_uid", "norm_key", (1 - F.col("has_requirements")).alias("has_requirements"))
+    after = registry.write_norms(rows, second, "upsert")
+    return after.groupBy("norm_key").agg(F.count("*").alias("n"), F.count_if(F.col("has_requirements") == 1).alias("requirements"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang IS NULL THEN 1 ELSE 2 END AS src FROM documents")
+def merged_deliveries(spark, d):
+    """merged_tables over all documents: a later delivery holds those whose language is known, and wins."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    one, two = docs.select("id", F.lit(1).alias("src")), docs.filter("lang is not null").select("id", F.lit(2).alias("src"))
+    return registry.merge_tables(one, two, ["id"], source_wins=True)
+
+
+@query(
+    r"""WITH v AS (SELECT norm_id || '_' || clause_number || '_part1_p1' AS row_key, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(shall|must|is required to|are required to|doit|doivent)\b')) AS shall,
+    len(regexp_extract_all(coalesce(text, ''), '(?i)\b(%s)\b')) AS should, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n, has_requirements = 1 AS req FROM (SELECT DISTINCT * FROM iso_clauses))
+    SELECT row_key, rule, count(*) AS n FROM (SELECT row_key, 'requirement_without_shall' AS rule FROM v WHERE req AND shall <= 0 UNION ALL SELECT row_key, 'too_short' FROM v WHERE n < 3 AND (shall > 0 OR should > 0)
+    UNION ALL SELECT row_key, 'chunk_id' FROM v WHERE NOT regexp_full_match(row_key, '[^_]+_[^_]+_part\d+_p\d+')) GROUP BY 1, 2""" % T.SHOULD
+)
+def all_violations(spark, d):
+    """chunk_violations with every rule."""
+    return registry.violations(_chunks(spark, d)).groupBy("row_key", "rule").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- scalar functions
