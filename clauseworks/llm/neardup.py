@@ -1,9 +1,11 @@
 """Problem 4: near-duplicate records with small edits.
 
 Method: LSH forest. Every record gets a min-hash signature of its set of three-word sequences; TREES sorted orders of signature
-prefixes put similar records next to each other. In each order all records that share a prefix of depth SHALLOW, a region, are
-candidates: every pair of a region is compared, where it is large or equal up to DEEP in blocks. At similarity j a pair meets in
-1 - (1 - j^SHALLOW)^TREES of the cases, 99.2 % at 0.5. Candidates pass a bit sketch and then an exact check of the sequence sets.
+prefixes put similar records next to each other. The rows of all trees are range-sorted by prefix and record, so that a region
+(records with one prefix of DEPTH hashes in a tree) may lie in several tasks. The pairs of a region are compared where it lies; a
+region that is large or runs over the edge of a task goes in blocks, whose pairs are spread over the tasks. At similarity j a pair
+meets in 1 - (1 - j^DEPTH)^TREES of the cases, 99.2 % at 0.5. Candidates pass a bit sketch, a stricter one where they met in one
+tree only, and then an exact check of the sequence sets.
 
 Records with equal sets form one class before the forest, so that copies never crowd an order; links hold between class
 representatives, and copies are joined to them through the membership. Null, blank and short records (under LEAST_WORDS) are in no
@@ -19,21 +21,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import over_batches, settle, widen
 
 WORDS_IN_SEQUENCE, SIMILAR, LEAST_WORDS = 3, 0.5, 40
-HASHES, TREES, STRIDE, SHALLOW, DEEP, LEVEL_BITS = 128, 36, 3, 3, 6, 9
-#: Records of a region always compared where they lie; above it a region that is equal up to DEEP goes in blocks.
-REGION = 48
-#: Records of the largest region compared where it lies; a larger one goes in blocks of BLOCK records.
-DIRECT, BLOCK = 512, 256
-#: Sketch bits of HASHES that must agree; at a similarity of j the share (1 + j) / 2 of them does. Lower lets more unlike pairs reach the exact check.
-SKETCH = 80
-#: Classes of more copies than this are linked through their representative only (see p4_groups for their members).
+#: Hashes of a signature; sorted orders and hashes along each; bits of a prefix.
+HASHES, TREES, DEPTH, PREFIX = 150, 36, 3, 36
+#: Sketch bits of HASHES that must agree; at a similarity of j the share (1 + j) / 2 of them does (at 0.5: 112.5, deviation 5.3). LOOSE is for pairs that met in several trees, STRICT for the others: at 0.5, 0.1 % of the former and 1.5 % of the latter (4 % of all) fall below.
+LOOSE, STRICT = 96, 101
+#: Records of the largest region compared where it lies; a larger one goes in blocks, BLOCKS of them or blocks of BLOCK records if that is fewer.
+DIRECT, BLOCK, BLOCKS = 2048, 1024, 16
+#: Copies of a class from which it is spread over salted keys, and from which its own copies are linked in a star rather than all with each other.
 COPIES = 1000
+#: Copies of a class that one task may join; classes above it meet their members by a broadcast of the classes (at most rows / HOT of them).
+HOT = 100_000
 #: Ids of candidate records that may be broadcast; beyond it their texts are found by a shuffled join.
 BROADCAST_IDS = 4_000_000
 
@@ -89,25 +93,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = ((m * np.uint32(0x9E3779B1)) >> np.uint32(17)) & np.uint32(1)
-    packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
-    return packed[:, 0].astype(np.int64), packed[:, 1].astype(np.int64)
+def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One bit of each hash: two words of 64 bits and the rest."""
+    bits = (((m * np.uint32(0x9E3779B1)) >> np.uint32(17)) & np.uint32(1)).astype(np.uint8)
+    packed = np.ascontiguousarray(np.packbits(bits[:, :128], axis=1)).view(np.int64)
+    rest = bits[:, 128:].astype(np.int64) @ (1 << np.arange(HASHES - 128, dtype=np.int64))
+    return packed[:, 0], packed[:, 1], rest
+
+
+REST = HASHES - 128
 
 
 def tree_keys(m: np.ndarray) -> np.ndarray:
-    """A sort key of each record in each tree: the tree's number, then LEVEL_BITS of each hash along the tree's order."""
-    levels = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(32 - LEVEL_BITS)).astype(np.int64)
-    keys = np.zeros((len(m), TREES), np.int64)
+    """Of each record and tree the PREFIX bits that DEPTH hashes along the tree's order give."""
+    keys = np.empty((len(m), TREES), np.uint64)
     for t in range(TREES):
-        k = np.full(len(m), t, np.int64)
-        for d in range(DEEP):
-            k = (k << LEVEL_BITS) | levels[:, (t * STRIDE + d) % HASHES]
-        keys[:, t] = k
+        k = np.full(len(m), t + 1, np.uint64)
+        for d in range(DEPTH):
+            k = (k ^ m[:, (t * DEPTH + d) % HASHES].astype(np.uint64)) * _ODD
+            k ^= k >> np.uint64(29)
+        keys[:, t] = (k * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PREFIX)
     return keys
 
 
-SIGNED = "record_kind string, record_uid long, c1 long, c2 long, s1 long, s2 long, keys array<long>"
+SIGNED = "kind int, uid long, c1 long, c2 long, s1 long, s2 long, s3 int, prefixes binary"
 
 
 def _sign(batches):
@@ -122,172 +131,168 @@ def _sign(batches):
         with np.errstate(over="ignore"):
             c1 = np.array([s.sum(dtype=np.uint64) for s in sets]).astype(np.int64)
             c2 = np.array([(s * s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets]).astype(np.int64)
-        s1, s2 = sketches(m)
-        keys = tree_keys(m)
-        offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES)
+        s1, s2, s3 = sketches(m)
+        raw = np.ascontiguousarray(tree_keys(m)).view(np.uint8).reshape(len(m), TREES, 8)[:, :, :5].reshape(len(m), -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([kinds[i] for i in rows]), pa.array([uids[i] for i in rows], pa.int64()), *map(pa.array, (c1, c2, s1, s2)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-            ["record_kind", "record_uid", "c1", "c2", "s1", "s2", "keys"],
+            [pa.array([KINDS.index(kinds[i]) for i in rows], pa.int32()), pa.array([uids[i] for i in rows], pa.int64()), *map(pa.array, (c1, c2, s1, s2)), pa.array(s3, pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary())],
+            ["kind", "uid", "c1", "c2", "s1", "s2", "s3", "prefixes"],
         )
 
 
-_BYTES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _spread(batches):
+    """A row of each record and tree: the key (tree, prefix, rest of the sketch), the record and its sketch."""
+    trees = np.arange(TREES, dtype=np.uint64) << np.uint64(PREFIX + REST)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        packed, s1, s2, s3 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        raw = np.zeros((len(packed), TREES, 8), np.uint8)
+        raw[:, :, :5] = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(packed), TREES, 5)
+        keys = (trees[None, :] | (raw.view(np.uint64)[:, :, 0] << np.uint64(REST)) | s3.astype(np.uint64)[:, None]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, TREES)) for x in (packed, s1, s2))], ["key", "packed", "s1", "s2"])
 
 
-def _agreement(a1, a2, b1, b2) -> np.ndarray:
-    differ = np.stack([a1 ^ b1, a2 ^ b2], axis=-1)
-    if hasattr(np, "bitwise_count"):
-        return HASHES - np.bitwise_count(differ.view(np.uint64)).sum(-1, dtype=np.int64)
-    return HASHES - _BYTES[np.ascontiguousarray(differ).view(np.uint8)].reshape(*differ.shape[:-1], -1).sum(-1, dtype=np.int64)
+def _agreement(a, b) -> np.ndarray:
+    """Sketch bits that agree, of (key, s1, s2) on both sides."""
+    differ = (np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(((a[0] ^ b[0]) & ((1 << REST) - 1), a[1], a[2]), (np.int64(0), b[1], b[2])))
+    return HASHES - sum(differ)
 
 
-def _runs(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of equal prefixes of a depth."""
-    p = keys >> (LEVEL_BITS * (DEEP - depth))
-    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    return starts, np.diff(np.append(starts, len(keys)))
+def _pairs_of(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20):
+    """Index pairs (i < j) within runs, in portions of about most."""
+    for size in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, most // len(i))
+        for a in range(0, len(at), step):
+            part = at[a : a + step, None]
+            yield (part + i).ravel(), (part + j).ravel()
 
 
-def neighbours(keys: np.ndarray, opened: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Index pairs (i < j) of records in one region each, in sorted keys; and the crowded regions, whose pairs are left to blocks.
+_PAIRS = ["kind", "a", "b", "agree", "region", "block"]
+PAIRS = "kind int, a long, b long, agree int, region long, block binary"
+#: Rows of an open region that a task holds before it puts them in blocks and reads on.
+OPEN = 1_000_000
 
-    opened: the prefix of a region of which other parts are in blocks already.
-    """
-    left, right = [], []
-    starts, sizes = _runs(keys, SHALLOW)
-    equal = keys[starts] == keys[starts + sizes - 1]
-    blocks = (sizes > DIRECT) | (equal & (sizes > REGION))
-    if opened is not None:
-        blocks |= keys[starts] >> _TAIL == opened
-    for size in np.unique(sizes[~blocks & (sizes > 1)]):
-        at = starts[~blocks & (sizes == size)]
-        i, j = np.triu_indices(size, 1)
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-    crowded = [(int(a), int(n)) for a, n in zip(starts[blocks], sizes[blocks])]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none), crowded
 
+def _found(kind, a, b, agree) -> pa.RecordBatch:
+    none = pa.nulls(len(a))
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree, pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], _PAIRS)
 
-#: Bits of a key below the prefix of its region.
-_TAIL = LEVEL_BITS * (DEEP - SHALLOW)
-_PAIRS = ["a_kind", "a", "b", "region", "ids", "k1", "k2"]
-#: Rows that one open region may hold in memory before they are put in blocks and the region is read on.
-OPEN = 2_000_000
+
+def _compare(x, y):
+    """Pairs of the rows x and y (key, packed, s1, s2 each) that the sketch lets pass."""
+    agree = _agreement((x[0], x[2], x[3]), (y[0], y[2], y[3]))
+    ok = (agree >= LOOSE) & ((x[1] ^ y[1]) & 1 == 0) & (x[1] != y[1])
+    a, b = x[1][ok], y[1][ok]
+    return (a & 1).astype(np.int32), a >> 1, b >> 1, agree[ok].astype(np.int32)
 
 
 def _sweep(batches):
-    """Walk a partition in key order; yield sketch-approved pairs, and crowded regions in blocks."""
-    longs = pa.list_(pa.int64())
-
-    def work(rows, opened):
-        key, packed, s1, s2 = rows
-        kind, uid = packed & 1, packed >> 1
-        i, j, crowded = neighbours(key, opened)
-        out = [[], [], []]
-        for a in range(0, len(i), 1 << 20):
-            x, y = i[a : a + (1 << 20)], j[a : a + (1 << 20)]
-            ok = (_agreement(s1[x], s2[x], s1[y], s2[y]) >= SKETCH) & (kind[x] == kind[y]) & (uid[x] != uid[y])
-            x, y = x[ok], y[ok]
-            out[0].append(kind[x])
-            out[1].append(np.minimum(uid[x], uid[y]))
-            out[2].append(np.maximum(uid[x], uid[y]))
-        n = sum(map(len, out[0]))
-        if n:
-            pairs = np.unique(np.stack([np.concatenate(c) for c in out], 1), axis=0)
-            n = len(pairs)
-            empty = pa.nulls(n)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), empty.cast(pa.int64()), *[empty.cast(longs)] * 3], _PAIRS)
-        for k in (0, 1):  # by kind of record
-            blocks = []
-            for a, n in crowded:
-                at = np.arange(a, a + n)[kind[a : a + n] == k]
-                blocks += [(int(key[a] >> _TAIL), uid[at[c : c + BLOCK]].tolist(), s1[at[c : c + BLOCK]].tolist(), s2[at[c : c + BLOCK]].tolist()) for c in range(0, len(at), BLOCK)]
-            if blocks:
-                r, ids, k1, k2 = zip(*blocks)
-                empty = pa.nulls(len(blocks)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), pa.int32()), empty, empty, pa.array(r, pa.int64()), pa.array(ids, longs), pa.array(k1, longs), pa.array(k2, longs)], _PAIRS)
-
-    carry = opened = None
+    """Walk a range of the order; yield pairs that the sketch lets pass, and in blocks the regions that are large or may go on in another task."""
+
+    def work(rows, edges):
+        region = rows[0] >> REST
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        sizes = np.diff(np.append(starts, len(region)))
+        apart = (sizes > DIRECT) | np.isin(region[starts], edges)
+        for i, j in _pairs_of(starts[~apart], sizes[~apart]):
+            kind, a, b, agree = _compare([c[i] for c in rows], [c[j] for c in rows])
+            if len(a):
+                yield _found(kind, a, b, agree)
+        blocks = []
+        for s, n in zip(starts[apart], sizes[apart]):
+            step = max(BLOCK, -(-n // BLOCKS))
+            blocks += [(int(region[s]), np.stack([c[k : min(k + step, s + n)] for c in rows]).tobytes()) for k in range(s, s + n, step)]
+        if blocks:
+            none = pa.nulls(len(blocks))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([r for r, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary())], _PAIRS)
+
+    carry, edges = None, []
     for b in batches:
         new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        rows = new if carry is None else [np.concatenate(x) for x in zip(carry, new)]
-        if not len(rows[0]):
+        if not len(new[0]):
             continue
-        starts, _ = _runs(rows[0], SHALLOW)
-        cut = starts[-1]
+        if carry is None:
+            edges = [int(new[0][0] >> REST)]  # the first region may have begun before
+        rows = new if carry is None else [np.concatenate(x) for x in zip(carry, new)]
+        last = rows[0][-1] >> REST
+        cut = int(np.searchsorted(rows[0] >> REST, last))
         if cut:
-            yield from work([c[:cut] for c in rows], opened)
+            yield from work([c[:cut] for c in rows], edges)
         carry = [c[cut:] for c in rows]
         if len(carry[0]) > OPEN:
-            opened = int(carry[0][0] >> _TAIL)
-            yield from work(carry, opened)
-            carry = None
+            edges.append(int(last))
+            yield from work(carry, edges)
+            carry = [c[:0] for c in carry]
     if carry is not None and len(carry[0]):
-        yield from work(carry, opened)
+        yield from work(carry, [*edges, int(carry[0][0] >> REST)])  # and the last may go on
 
 
 def _block_pairs(batches):
     for b in batches:
-        out = [[], [], []]
-        for kind, ia, a1, a2, ib, b1, b2 in zip(*(c.to_pylist() for c in b.columns)):
-            x = [np.array(v, np.int64) for v in (ia, a1, a2)]
-            y = [np.array(v, np.int64) for v in (ib, b1, b2)]
-            ok = _agreement(x[1][:, None], x[2][:, None], y[1][None, :], y[2][None, :]) >= SKETCH
-            i, j = np.nonzero(ok & (x[0][:, None] != y[0][None, :]))
-            out[0] += [kind] * len(i)
-            out[1] += np.minimum(x[0][i], y[0][j]).tolist()
-            out[2] += np.maximum(x[0][i], y[0][j]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["a_kind", "a", "b"])
+        for same, one, other in zip(*(c.to_pylist() for c in b.columns)):
+            x, y = (np.frombuffer(v, np.int64).reshape(4, -1) for v in (one, other))
+            n = x.shape[1]
+            for k in range(n):
+                z = y[:, k + 1 :] if same else y
+                kind, p, q, agree = _compare(np.broadcast_to(x[:, k, None], z.shape), z)
+                if len(p):
+                    yield _found(kind, p, q, agree)
 
 
 KINDS = ("clause", "section")
 
 
-def _code(c: str = "record_kind"):
-    return F.when(F.col(c) == KINDS[0], 0).otherwise(1).cast("int")
-
-
 def _name(c: str):
     return F.when(F.col(c) == 0, KINDS[0]).otherwise(KINDS[1])
 
 
 def classes(signed: DataFrame) -> DataFrame:
     """kind, uid, rep, copies: of each record with a twin the class' first record and size; records alone in their class are left out."""
-    own = signed.select(_code().alias("kind"), "c1", "c2", F.col("record_uid").alias("uid"))
-    size = own.groupBy("kind", "c1", "c2").agg(F.min("uid").alias("rep"), F.max("uid").alias("last")).filter("rep < last").drop("last")
-    members = own.join(size, ["kind", "c1", "c2"]).select("kind", "rep", "uid").distinct()
-    copies = members.groupBy("kind", "rep").agg(F.count("*").alias("copies"))
-    return members.join(copies, ["kind", "rep"]).select("kind", "uid", "rep", "copies")
+    own = signed.select("kind", "c1", "c2", "uid").distinct()
+    size = own.groupBy("kind", "c1", "c2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    hot = F.broadcast(size.filter(F.col("copies") > HOT))
+    others = own.join(hot, ["kind", "c1", "c2"], "left_anti").join(size.filter(F.col("copies") <= HOT), ["kind", "c1", "c2"])
+    return others.unionByName(own.join(hot, ["kind", "c1", "c2"])).select("kind", "uid", "rep", "copies")
 
 
 def candidates(signed: DataFrame, twins: DataFrame) -> DataFrame:
     """kind, a, b: pairs of class representatives that the forest finds."""
     spark = signed.sparkSession
-    later = twins.filter("uid <> rep").select((F.col("uid") * 2 + F.col("kind")).alias("packed"))
+    later = twins.filter("uid <> rep").select("kind", "uid")
     if later.count() <= BROADCAST_IDS:
         later = F.broadcast(later)
-    reps = signed.select((F.col("record_uid") * 2 + _code()).alias("packed"), "s1", "s2", "keys").join(later, "packed", "left_anti")
-    rows = reps.select(F.explode("keys").alias("key"), "packed", "s1", "s2")
+    reps = signed.join(later, ["kind", "uid"], "left_anti").select((F.col("uid") * 2 + F.col("kind")).alias("packed"), "s1", "s2", "s3", "prefixes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, F.shiftright("key", LEVEL_BITS * (DEEP - SHALLOW))).sortWithinPartitions("key")
-    found = settle(over_batches(rows, _sweep, "a_kind int, a long, b long, region long, ids array<long>, k1 array<long>, k2 array<long>"), "forest")
-    direct = found.filter("a is not null").select("a_kind", "a", "b")
-    blocks = found.filter("region is not null").select("a_kind", "region", "ids", "k1", "k2").withColumn("no", F.monotonically_increasing_id())
-    blocks = settle(blocks, "crowded")
-    other = blocks.select(F.col("a_kind").alias("ok"), F.col("region").alias("oregion"), F.col("ids").alias("oids"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("no").alias("ono"))
-    both = blocks.join(other, (F.col("a_kind") == F.col("ok")) & (F.col("region") == F.col("oregion")) & (F.col("no") <= F.col("ono"))).select("a_kind", "ids", "k1", "k2", "oids", "o1", "o2")
-    return direct.unionByName(over_batches(both, _block_pairs, "a_kind int, a long, b long")).select(F.col("a_kind").alias("kind"), "a", "b").distinct()
+    rows = over_batches(reps, _spread, "key long, packed long, s1 long, s2 long").repartitionByRange(n, "key", "packed").sortWithinPartitions("key")
+    found = settle(over_batches(rows, _sweep, PAIRS), "forest")
+    pairs = found.filter("a is not null").unionByName(crowded_pairs(found)).select("kind", "a", "b", "agree")
+    met = pairs.groupBy("kind", "a", "b").agg(F.count("*").alias("trees"), F.max("agree").alias("agree"))
+    return met.filter((F.col("trees") > 1) | (F.col("agree") >= STRICT)).select("kind", "a", "b")
+
+
+def crowded_pairs(found: DataFrame) -> DataFrame:
+    """Pairs within regions that lie in several blocks: each two blocks meet under a key of their own, spread over all tasks."""
+    spark = found.sparkSession
+    blocks = found.filter("region is not null").select("region", "block").withColumn("no", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("block"))) - 1)
+    blocks = settle(blocks.join(blocks.groupBy("region").agg(F.count("*").alias("n")), "region"), "crowded")
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    one = blocks.select("region", F.col("no").alias("i"), F.explode(F.filter(others, lambda j: j >= F.col("no"))).alias("j"), "block")
+    two = blocks.select("region", F.explode(F.filter(others, lambda i: i <= F.col("no"))).alias("i"), F.col("no").alias("j"), F.col("block").alias("other"))
+    both = one.join(two, ["region", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "block", "other")
+    return over_batches(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), _block_pairs, PAIRS)
 
 
 def _sets(batches, wanted=None):
     for b in batches:
         kinds, uids, texts = (b.column(i).to_pylist() for i in range(3))
         keep = range(len(uids))
-        if wanted is not None:
-            ids = np.array([-1 if u is None else u for u in uids], np.int64)
-            code = np.array([KINDS.index(k) for k in kinds])
-            keep = np.flatnonzero(np.where(code == 0, np.isin(ids, wanted[0]), np.isin(ids, wanted[1])))
+        if wanted is not None and len(wanted):
+            ids = np.array([-1 if u is None else u * 2 + KINDS.index(k) for u, k in zip(uids, kinds)], np.int64)
+            keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)] == ids)
+        elif wanted is not None:
+            continue
         found = sequence_sets([texts[i] for i in keep])
         rows = [i for i, s in zip(keep, found) if s is not None]
         sets = [s for s in found if s is not None]
@@ -299,24 +304,33 @@ def _sets(batches, wanted=None):
         )
 
 
+def _share(batches):
+    for b in batches:
+        kind, one, other, x, y = b.columns
+        out = []
+        for s, t in zip(x, y):
+            s, t = s.values.to_numpy(zero_copy_only=False), t.values.to_numpy(zero_copy_only=False)
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            out.append(common / (len(s) + len(t) - common))
+        yield pa.RecordBatch.from_arrays([kind, one, other, pa.array(out, pa.float64())], ["kind", "a", "b", "similarity"])
+
+
 def verified(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """kind, a, b, similarity of the pairs whose sets really reach SIMILAR."""
     spark = records.sparkSession
     pairs = settle(pairs, "candidates")
-    ids = settle(pairs.select("kind", F.explode(F.array("a", "b")).alias("uid")).distinct(), "candidate_ids")
+    ids = pairs.select(F.explode(F.array(F.col("a") * 2 + F.col("kind"), F.col("b") * 2 + F.col("kind"))).alias("packed")).distinct()
     schema = "kind int, uid long, seqs array<long>"
-    if ids.count() <= BROADCAST_IDS:
-        got = [np.sort(np.fromiter((r[0] for r in ids.filter(F.col("kind") == k).select("uid").toLocalIterator()), np.int64)) for k in (0, 1)]
-        shared = spark.sparkContext.broadcast(got)
+    if pairs.count() * 2 <= BROADCAST_IDS:
+        shared = spark.sparkContext.broadcast(np.sort(ids.toPandas()["packed"].to_numpy(np.int64)))
         sets = over_batches(records, lambda batches: _sets(batches, shared.value), schema)
     else:
-        named = ids.select(_name("kind").alias("record_kind"), F.col("uid").alias("record_uid"))
-        sets = over_batches(records.join(named, ["record_kind", "record_uid"], "left_semi"), _sets, schema)
-    sets = settle(sets, "sets")
+        code = F.col("record_uid") * 2 + F.when(F.col("record_kind") == KINDS[0], 0).otherwise(1)
+        sets = over_batches(records.withColumn("packed", code).join(ids, "packed", "left_semi").select("record_kind", "record_uid", "text"), _sets, schema)
+    sets = sets.dropDuplicates(["kind", "uid"])  # repeated deliveries
     left = pairs.join(sets.withColumnsRenamed({"uid": "a", "seqs": "x"}), ["kind", "a"])
-    both = left.join(sets.withColumnsRenamed({"uid": "b", "seqs": "y"}), ["kind", "b"])
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("kind", "a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= SIMILAR).distinct()  # repeated deliveries
+    both = left.join(sets.withColumnsRenamed({"uid": "b", "seqs": "y"}), ["kind", "b"]).select("kind", "a", "b", "x", "y")
+    return over_batches(both, _share, "kind int, a long, b long, similarity double").filter(F.col("similarity") >= SIMILAR)
 
 
 def links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -327,20 +341,44 @@ def links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(verified(records, candidates(signed, twins)), "links"), twins
 
 
+def _members(rows: DataFrame, side: str, wanted: Column, twins: DataFrame) -> DataFrame:
+    """rows(kind, a, b, n_a, n_b) with the side's representative replaced by every member of its class where wanted; large classes meet them on salted keys."""
+    salts = lambda n: F.ceil(F.col(n) / COPIES).cast("int")
+    own = twins.select("kind", F.col("rep").alias(side), F.pmod(F.xxhash64("uid"), salts("copies")).cast("int").alias("salt"), "uid")
+    many = wanted & (F.col(f"n_{side}") > 1)
+    spread = rows.filter(many).withColumn("salt", F.explode(F.sequence(F.lit(0), salts(f"n_{side}") - 1)))
+    return spread.join(own, ["kind", side, "salt"]).drop(side, "salt").withColumnRenamed("uid", side).unionByName(rows.filter(~many))
+
+
 def similar_pairs(records: DataFrame) -> DataFrame:
-    """record_kind, uid_a, uid_b: the links with the copies joined in; beyond COPIES copies a class takes part through its first record."""
+    """record_kind, uid_a, uid_b: the links with the copies joined in.
+
+    Every member of a class is paired with the records outside it that the class is linked with, and with its fellow copies; of a
+    class of over COPIES copies each is paired with the first instead of with all, and two such classes that are linked are paired
+    member by representative, as all their pairs are implied. No link between different texts is lost.
+    """
     found, twins = links(records)
+    size = twins.filter("uid = rep")
+    for c in ("a", "b"):
+        found = found.join(size.select("kind", F.col("rep").alias(c), F.col("copies").alias(f"n_{c}")), ["kind", c], "left").fillna(1, [f"n_{c}"])
+    found = found.select("kind", "a", "b", "n_a", "n_b")
+    both = (F.col("n_a") > COPIES) & (F.col("n_b") > COPIES)
+    across = _members(_members(found, "a", F.lit(True), twins), "b", ~both, twins).unionByName(_members(found.filter(both), "b", F.lit(True), twins)).select("kind", F.col("a").alias("x"), F.col("b").alias("y"))
     some = twins.filter(F.col("copies") <= COPIES)
-    member = lambda c: some.select("kind", F.col("rep").alias(c), F.col("uid").alias(f"{c}_uid"))
-    across = found.join(member("a"), ["kind", "a"], "left").join(member("b"), ["kind", "b"], "left")
-    across = across.select("kind", F.coalesce("a_uid", "a").alias("x"), F.coalesce("b_uid", "b").alias("y"))
-    mates = some.select("kind", "rep", F.col("uid").alias("y"))
-    within = some.select("kind", "rep", F.col("uid").alias("x")).join(mates, ["kind", "rep"]).filter("x < y").select("kind", "x", "y")
+    within = some.select("kind", "rep", F.col("uid").alias("x")).join(some.select("kind", "rep", F.col("uid").alias("y")), ["kind", "rep"]).filter("x < y").select("kind", "x", "y")
     star = twins.filter((F.col("copies") > COPIES) & (F.col("uid") != F.col("rep"))).select("kind", F.col("rep").alias("x"), F.col("uid").alias("y"))
     pairs = across.unionByName(within).unionByName(star)
     return pairs.select(_name("kind").alias("record_kind"), F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b")).distinct()
 
 
+def representative_links(records: DataFrame) -> DataFrame:
+    """record_kind, uid_a, uid_b, similarity, n_a, n_b: the links between class representatives and how many copies either has; members are in groups()."""
+    found, twins = links(records)
+    for c in ("a", "b"):
+        found = found.join(twins.filter("uid = rep").select("kind", F.col("rep").alias(c), F.col("copies").alias(f"n_{c}")), ["kind", c], "left").fillna(1, [f"n_{c}"])
+    return found.select(_name("kind").alias("record_kind"), F.col("a").alias("uid_a"), F.col("b").alias("uid_b"), F.round("similarity", 9).alias("similarity"), "n_a", "n_b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """kind, uid, root of the nodes of edges(kind, a, b): the smallest id reachable, by alternating large and small stars."""
     e = edges.select("kind", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

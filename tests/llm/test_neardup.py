@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from clauseworks.llm import neardup as N
 
@@ -13,9 +14,16 @@ def word_sets(text):
 
 
 def brute(rows):
+    """All pairs of at least half their union, by a matrix of records and sequences."""
     sets = {u: word_sets(t) for u, t in rows if u is not None}
-    sets = {u: s for u, s in sets.items() if s}
-    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    uids = sorted(u for u, s in sets.items() if s)
+    place = {g: i for i, g in enumerate(sorted(set().union(*(sets[u] for u in uids))))}
+    x = np.zeros((len(uids), len(place)), np.float32)
+    for i, u in enumerate(uids):
+        x[i, [place[g] for g in sets[u]]] = 1
+    common, size = x @ x.T, x.sum(1)
+    a, b = np.nonzero(np.triu(common >= 0.5 * (size[:, None] + size[None, :] - common), 1))
+    return {(uids[i], uids[j]) for i, j in zip(a, b)}
 
 
 def corpus(seed=5, base=60):
@@ -52,14 +60,35 @@ def test_kinds_never_mix(spark):
     assert N.similar_pairs(both).count() == 0
 
 
+def pairs(spark, rows):
+    return {(r["uid_a"], r["uid_b"]) for r in N.similar_pairs(records(spark, rows)).collect()}
+
+
 def test_copies_are_classes(spark, monkeypatch):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(i, words) for i in range(1, 301)] + [(400, words + " more")]
     groups = N.groups(records(spark, rows)).collect()
     assert len(groups) == 301 and {r["group_uid"] for r in groups} == {1}
-    assert N.similar_pairs(records(spark, rows)).count() == 301 * 300 // 2
-    monkeypatch.setattr(N, "COPIES", 100)  # a class beyond it is linked through its representative
-    assert N.similar_pairs(records(spark, rows)).count() == 299 + 1
+    assert len(pairs(spark, rows)) == 301 * 300 // 2
+    (link,) = N.representative_links(records(spark, rows)).collect()
+    assert (link["uid_a"], link["uid_b"], link["n_a"], link["n_b"]) == (1, 400, 300, 1)
+
+
+def test_large_classes_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 100)  # beyond it copies are linked with the first of them, and with all that is similar to it
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words) for i in range(1, 301)] + [(400, words + " more")]
+    assert pairs(spark, rows) == {(1, i) for i in range(2, 301)} | {(i, 400) for i in range(1, 301)}
+    rows = [(i, words) for i in range(1, 121)] + [(i, words + " more") for i in range(201, 331)]
+    stars = {(1, i) for i in range(2, 121)} | {(201, i) for i in range(202, 331)}
+    assert pairs(spark, rows) == stars | {(i, 201) for i in range(1, 121)} | {(1, i) for i in range(201, 331)}
+
+
+def test_hot_classes_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 10)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words) for i in range(1, 31)] + [(i, words + " more and more") for i in (40, 41)] + [(1, words)]
+    assert len(pairs(spark, rows)) == 32 * 31 // 2
 
 
 def test_crowded_region_loses_nothing(spark):
@@ -74,12 +103,17 @@ def test_crowded_region_loses_nothing(spark):
     assert got == brute(rows) and len(got) == 150 * 149 // 2
 
 
-def test_neighbours_split_regions_by_depth():
-    keys = np.sort(np.array([k << N.LEVEL_BITS for k in range(N.REGION + 5)], np.int64))
-    left, _, crowded = N.neighbours(keys)
-    assert len(left) < (N.REGION + 5) ** 2 / 2 and not crowded
-    _, _, crowded = N.neighbours(np.zeros(N.REGION + 5, np.int64))
-    assert crowded == [(0, N.REGION + 5)]
+def test_keys_hold_tree_prefix_and_sketch():
+    m = np.arange(3 * N.HASHES, dtype=np.uint32).reshape(3, -1)
+    m[1] = m[0]
+    s1, s2, s3 = N.sketches(m)
+    keys = N.tree_keys(m)
+    assert (keys[0] == keys[1]).all() and (keys[0] != keys[2]).all() and keys.max() < 1 << N.PREFIX and s3.max() < 1 << N.REST
+    raw = [k.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for k in keys]
+    (rows,) = N._spread([pa.RecordBatch.from_arrays([pa.array([2, 4, 6]), pa.array(s1), pa.array(s2), pa.array(s3), pa.array(raw, pa.binary())], list("abcde"))])
+    key = rows.column(0).to_numpy().reshape(3, N.TREES).astype(np.uint64)
+    assert (key >> np.uint64(N.REST) & np.uint64((1 << N.PREFIX) - 1) == keys).all() and (key[2] & np.uint64((1 << N.REST) - 1) == s3[2]).all()
+    assert N._agreement((key[:1, 0].astype(np.int64), s1[:1], s2[:1]), (key[1:2, 0].astype(np.int64), s1[1:2], s2[1:2]))[0] == N.HASHES
 
 
 def family(n=300, length=300, changed=0.057, seed=8):
@@ -97,12 +131,43 @@ def test_large_family_near_the_limit(spark):
     assert len(want) > 20000 and got <= want and len(got) >= 0.985 * len(want)
 
 
-def test_parts_of_an_open_region_meet(spark, monkeypatch):
-    monkeypatch.setattr(N, "OPEN", 40)
-    key = np.array([[7 << N._TAIL | i for i in range(100)], range(0, 200, 2), [5] * 100, [9] * 100], np.int64)
-    parts = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 25]) for c in key], ["key", "packed", "s1", "s2"]) for a in range(0, 100, 25)]
-    rows = [r for b in N._sweep(iter(parts)) for r in b.to_pylist()]
-    assert {r["region"] for r in rows} == {7} and sorted(u for r in rows for u in r["ids"]) == list(range(100))
+@pytest.mark.parametrize("n,changed", [(50, 8), (200, 6), (500, 8), (1000, 6)])
+def test_dense_families(spark, n, changed):
+    """Variants of one text of 120 words, each with some words changed."""
+    rng = random.Random(n + changed)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for u in range(1, n + 1):
+        other = list(words)
+        for i in rng.sample(range(120), changed):
+            other[i] = f"x{u}y{i}"
+        rows.append((u, " ".join(other)))
+    got, want = pairs(spark, rows), brute(rows)
+    print(n, changed, len(want), len(got) / len(want))
+    assert len(want) > 20 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def sweep(regions, tasks):
+    """The blocks that some tasks make of rows (key, packed), which they hold in order."""
+    out = []
+    for rows in tasks:
+        key = np.array([regions[u] << N.REST for u in rows], np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array([2 * u for u in rows], pa.int64()), *[pa.array([5] * len(rows), pa.int64())] * 2], ["key", "packed", "s1", "s2"])
+        out += [r for b in N._sweep(iter([batch.slice(a, 7) for a in range(0, len(rows), 7)])) for r in b.to_pylist()]
+    return out
+
+
+def test_regions_over_several_tasks_meet(spark, monkeypatch):
+    """A region that a task's edge, DIRECT or OPEN parts is compared whole, every pair once."""
+    monkeypatch.setattr(N, "DIRECT", 20)
+    monkeypatch.setattr(N, "OPEN", 30)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    regions = {u: 1 if u < 5 else 2 if u < 75 else 3 if u < 80 else 4 if u < 105 else 5 for u in range(110)}
+    rows = sweep(regions, [range(0, 40), range(40, 90), range(90, 110)])
+    direct = [(r["a"], r["b"]) for r in rows if r["a"] is not None]
+    found = spark.createDataFrame([r for r in rows], N.PAIRS)
+    pairs = direct + [(r["a"], r["b"]) for r in N.crowded_pairs(found).collect()]
+    assert sorted(pairs) == [(a, b) for a, b in itertools.combinations(range(110), 2) if regions[a] == regions[b]]
 
 
 def test_components_of_a_chain(spark):
