@@ -30,7 +30,7 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.convert(table(spark, d, "parsed_documents")).select("parsed_id", F.explode("kinds").alias("markup_kind")).distinct()
+    return markup.kinds_of_blocks(markup.convert(table(spark, d, "parsed_documents"), texts=False))
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -38,10 +38,18 @@ def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("parsed_id", "b.*").dropDuplicates(["parsed_id", "block_no"])
 
 
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_text(markup.convert(table(spark, d, "parsed_documents"))).dropDuplicates(["parsed_id"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(_records(spark, d))
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.representative_links(_records(spark, d))
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_records(spark, d))
 
@@ -102,7 +110,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p4_found, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p3_clean, p4_found, p4_links, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean]
     return {f.__name__: f for f in names}
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from clauseworks.llm import markup as M
@@ -67,6 +69,37 @@ def test_links_within_text_stay_content():
     assert [s for _, _, s, _ in blocks] == ["Scope", "a | the value of the pump", "1 | 2"] and set(M.label_blocks(blocks)) == {"content"}
 
 
+def test_kinds_stand_with_their_blocks():
+    text = "# Scope\n\nThe **pump** is off.\n\n- plain item\n\n<b>Check</b> it.\n\n```\n''x''\n```\n\n<!-- end -->"
+    blocks, kinds = M.marked_blocks(text)
+    assert [b[0] for b in blocks] == ["heading", "paragraph", "list_item", "paragraph", "code"]
+    assert kinds == [{"markdown"}, {"markdown"}, set(), {"html"}, {"markdown", "html"}]  # a mark without text goes to the block before
+    blocks, kinds = M.marked_blocks("<!-- only -->")
+    assert [b[0] for b in blocks] == ["residue"] and kinds == [{"html"}] and M.label_blocks(blocks) == ["furniture"]
+    assert M.dissect("a \ue010 b") == (set(), [("paragraph", 0, "a b", 0.0)])
+
+
+OPENERS = ["The pump is closed by the operator. ", "<pre>x ", "<pre ", "<code> ", "<script>", "<!-- x ", "{|\n|a\n", "\\begin{verbatim} x ", "\\begin{equation} ", "\\begin{tabular} ", "\\[ x ", "\\( x ", "\\emph[", "\\emph{", "**a ", "__a ", "`a ", "[a", "[[a", "{{a", " ", "= a ", "# a ", "~~a ", "a\n--\n", "- a\n"]
+
+
+@pytest.mark.parametrize("unit", OPENERS)
+def test_time_is_proportional_to_length(unit):
+    """Long lines and marks that nothing closes: four times the text takes about four times as long."""
+    spent = []
+    for n in (30_000, 120_000):
+        text = (unit * (n // len(unit) + 1))[:n]
+        began = time.process_time()
+        M.label_blocks(M.dissect(text)[1])
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * max(spent[0], 0.05)
+
+
+def test_kinds_come_from_labelled_blocks(spark):
+    rows = spark.createDataFrame([(1, "# a\n\n<i>b</i>"), (1, "# a\n\n<i>b</i>"), (2, "plain"), (3, "<!-- -->"), (4, None)], "parsed_id long, markdown string")
+    found = M.kinds_of_blocks(M.convert(rows, texts=False)).collect()
+    assert sorted(map(tuple, found)) == [(1, "html"), (1, "markdown"), (3, "html")]
+
+
 def test_convert_handles_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "# a", 5), (3, "# a", 5), (None, "# a", 5)], "parsed_id long, markdown string, kinds int")
     got = {r["parsed_id"]: r["kinds"] for r in M.convert(rows).collect()}
