@@ -105,12 +105,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect_residue(table(spark, d, "documents")).select("doc_id")
 
 
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each sort of evidence finds, and how many it alone does."""
+    found = residue.detect_residue(table(spark, d, "documents"))
+    return found.select(F.explode("kinds").alias("kind"), (F.size("kinds") == 1).cast("int").alias("alone")).groupBy("kind").agg(F.count("*").alias("documents"), F.sum("alone").alias("alone"))
+
+
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p3_clean, p4_found, p4_links, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_clean]
+    names = [p1_found, p1_repaired, p2_found, p2_scores, p3_found, p3_blocks, p3_clean, p4_found, p4_links, p4_groups, p5_found, p5_records, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_evidence, p9_clean]
     return {f.__name__: f for f in names}
 
 

@@ -1,11 +1,13 @@
 """Problem 9: template residue, filler and portal messages in place of content.
 
-Method: mask numbers, addresses and dates of every text segment, group the exact hashes of the normalised segments across
-sources, and classify: a placeholder in the place of a value, a template directive and filler are residue wherever they stand; a
-message in the wording of an error, access or script notice is residue when its segment begins as that message. Segments that
-hold such wording further inside, or address the reader about scripts, cookies, browsers or servers, are residue when the same
-masked segment recurs in several documents, of one source or of many. As the rules look at the segment alone, they are asked
-first, and only the segments they name are hashed and counted.
+Method: mask numbers, addresses and dates of every text, cut it into segments, hash every normalised segment and count the hashes
+over all documents and sources. What recurs is classified: a segment with the wording of a message inside, or one that addresses the
+reader about scripts, cookies, browsers or servers, is a message from RECURS_DOCS documents on, of one source or of many; a segment
+without any such wording that recurs in WIDE_TEXTS different texts of two sources or more, nearly all of which hold a message, is
+part of the portal's frame ("back to home"), and so are the documents that hold it without a message that any rule knows. Texts
+that are copies of each other count once there, so that what stands beside a message in a document copied often isn't taken for
+frame. A placeholder in the place of a value, a template directive, filler, and a segment that begins as a known message are residue
+wherever they stand, recurring or not.
 
 Rules read whole texts. Marks in quotation are spoken of, not left over, and are no residue. Null, blank and short genuine texts
 are never residue; every row of an input with repeated ids counts once in the result.
@@ -25,6 +27,8 @@ from ..runtime import over_batches, settle, widen
 
 #: A message in loose wording counts from this many documents that hold the same masked segment.
 RECURS_DOCS = 3
+#: A segment without message wording is portal frame from so many different texts of two sources on, if this share of them holds a message.
+WIDE_TEXTS, FRAME_SHARE = 10, 0.8
 
 # Forms of placeholders and directives.
 _NAME = r"[^\W\d_][\w .\-]{1,38}"
@@ -41,8 +45,8 @@ REFERENCE = re.compile(r"^\W*(?:annex|annexe|anhang|anlage|anexo|allegato|see|si
 QUOTES = "\"'“”„‟‘’‚«»‹›`"
 FILLER = re.compile(
     r"(?:\b(?:lorem|ipsum|dolor|dolore|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|ut|et|do)\b[\s,.]*){5,}"
-    r"|(?:\bbla\b[\s,.]*){3,}|(?:\bxxx\b[\s,.]*){3,}|(?:\btext\b[\s,.]*){4,}|(?:\basdf\w*\b[\s,.]*){2,}|(?:\bqwert[yz]\w*\b[\s,.]*){2,}|(?:\btest\b[\s,.]*){4,}"
-    r"|(?:\b(?:texte|texto|testo|blah|dummy|foo|aaa)\b[\s,.]*){4,}",
+    r"|(?:\bbla\b[\s,.\d]*){3,}|(?:\bxxx\b[\s,.\d]*){3,}|(?:\btext\b[\s,.\d]*){4,}|(?:\basdf\w*\b[\s,.\d]*){2,}|(?:\bqwert[yz]\w*\b[\s,.\d]*){2,}|(?:\btest\b[\s,.\d]*){4,}"
+    r"|(?:\b(?:texte|texto|testo|blah|dummy|foo|aaa)\b[\s,.\d]*){4,}",
     re.I,
 )
 # Wording of portal messages, each rule meant for one whole sentence or line.
@@ -125,10 +129,20 @@ _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
 _NUMBER = re.compile(r"\d+")
 
 
+def mask(text: str) -> str:
+    """Lower case, with addresses, dates and numbers masked."""
+    return _NUMBER.sub("0", _DATE.sub("<date>", _ADDRESS.sub("<addr>", text.lower().replace("’", "'"))))
+
+
 def normalise(segment: str) -> str:
-    """Lower case, with addresses, dates and numbers masked and white space collapsed."""
-    s = _ADDRESS.sub("<addr>", segment.lower().replace("’", "'"))
-    return " ".join(_NUMBER.sub("0", _DATE.sub("<date>", s)).split())
+    """A segment masked, with white space collapsed."""
+    return " ".join(mask(segment).split())
+
+
+def segments(masked: str) -> list[str]:
+    """The lines and sentences of a masked text, without bullets and outer blanks."""
+    parts = (" ".join(x.strip(" \t*-•#>|").split()) for x in _SPLIT.split(masked))
+    return [x for x in parts if x]
 
 
 def placeholder_in(text: str) -> bool:
@@ -152,49 +166,60 @@ def filler_in(text: str) -> bool:
 
 def findings(text: str) -> list[tuple[str, str, bool]]:
     """(kind, masked segment, certain) of one text: what stands in it in place of content."""
-    out = []
+    return _judge(text, mask(text))[0]
+
+
+def _judge(text: str, masked: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
+    out, parts = [], segments(masked)
     marks, fillers, triggers = _finders()
-    low = text.lower().replace("’", "'")
+    low = text.lower()
     if marks(text) and placeholder_in(text):
         out.append(("placeholder", "", True))
     if fillers(low) and filler_in(low):
         out.append(("filler", "", True))
-    if triggers(low):
-        for segment in _SPLIT.split(low):
-            s = segment.strip(" \t*-•#>|")
-            if len(s) < 6 or not triggers(s):
+    if triggers(masked):
+        for s in parts:
+            if not triggers(s):
                 continue
-            s = normalise(s)
             if MESSAGE.search(s):
                 out.append(("message", s, True))
             elif (LOOSE.search(s) and ADDRESSES.search(s) or PHRASE.search(s)) and not SPEAKS.search(s):
                 out.append(("message", s, False))
-    return out
+    return out, parts
+
+
+def _hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("segment_hash", pa.int64()), ("segment", pa.string()), ("certain", pa.bool_())]))
+SCANNED = "doc_id long, source string, text_hash long, segments array<long>, findings array<struct<kind:string,segment_hash:long,segment:string,certain:boolean>>"
 
 
 def _scan(batches):
     for b in batches:
-        ids, sources, kinds, hashes, texts, sure = [], [], [], [], [], []
+        ids, sources, texts, parts, rows = [], [], [], [], []
         for i, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if not text or i is None:
                 continue
-            for kind, s, certain in set(findings(text)):
-                ids.append(i)
-                sources.append(source)
-                kinds.append(kind)
-                hashes.append(int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True))
-                texts.append(s)
-                sure.append(certain)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string()), pa.array(sure, pa.bool_())],
-            ["doc_id", "source", "kind", "segment_hash", "segment", "certain"],
-        )
-
-
-def suspects(documents: DataFrame) -> DataFrame:
-    """doc_id, source, kind, segment_hash, segment, certain: every suspicious segment of documents(doc_id, source, text)."""
+            found, own = _judge(text, mask(text))
+            ids.append(i)
+            sources.append(source)
+            texts.append(_hash(text))
+            parts.append(list({_hash(s) for s in own}))
+            rows.append([{"kind": kind, "segment_hash": _hash(s), "segment": s, "certain": sure} for kind, s, sure in sorted(set(found))])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(texts, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(rows, _FINDINGS)], ["doc_id", "source", "text_hash", "segments", "findings"])
+
+
+def scanned(documents: DataFrame) -> DataFrame:
+    """doc_id, source, text_hash, segments, findings of documents(doc_id, source, text): the hashes of all masked segments, and what the rules find."""
     rows = documents.select("doc_id", F.lower(F.regexp_replace(F.trim("source"), "-", "_")).alias("source"), "text")
-    return over_batches(widen(rows).filter("doc_id is not null"), _scan, "doc_id long, source string, kind string, segment_hash long, segment string, certain boolean")
+    return settle(over_batches(widen(rows).filter("doc_id is not null"), _scan, SCANNED), "residue_scan")
+
+
+def suspects(scan: DataFrame) -> DataFrame:
+    """doc_id, source, kind, segment_hash, segment, certain: every suspicious segment."""
+    return scan.select("doc_id", "source", F.inline("findings"))
 
 
 def recurring_messages(found: DataFrame) -> DataFrame:
@@ -208,13 +233,24 @@ def recurring_messages(found: DataFrame) -> DataFrame:
     )
 
 
+def portal_frame(scan: DataFrame) -> DataFrame:
+    """segment_hash, n_texts, n_messages: segments that recur widely and almost only in texts that hold a message; every segment of every different text is counted."""
+    message = F.exists("findings", lambda x: (x["kind"] == "message") & x["certain"])
+    texts = scan.groupBy("text_hash").agg(F.first("segments").alias("segments"), F.max(message.cast("int")).alias("message"), F.min("source").alias("source"), F.max("source").alias("last"))
+    counts = texts.select(F.explode("segments").alias("segment_hash"), "message", "source", "last").groupBy("segment_hash").agg(F.count("*").alias("n_texts"), F.sum("message").alias("n_messages"), F.min("source").alias("source"), F.max("last").alias("last"))
+    wide = (F.col("n_texts") >= WIDE_TEXTS) & (F.col("n_messages") >= FRAME_SHARE * F.col("n_texts")) & (F.col("source") < F.col("last"))
+    return counts.filter(wide).select("segment_hash", "n_texts", "n_messages")
+
+
 def detect_residue(documents: DataFrame) -> DataFrame:
-    """doc_id, kinds: the documents that hold residue, each once, with the kinds found (sorted)."""
-    found = settle(suspects(documents), "residue_suspects")
+    """doc_id, kinds: the documents that hold residue, each once, with the kinds found (sorted): filler, frame, message, placeholder, recurring."""
+    scan = scanned(documents)
+    found = suspects(scan)
     known = recurring_messages(found).filter(F.col("certain") | (F.col("n_docs") >= RECURS_DOCS)).select("segment_hash")
     direct = found.filter("certain").select("doc_id", "kind")
-    loose = found.filter("not certain").join(known, "segment_hash", "left_semi").select("doc_id", "kind")
-    return direct.unionByName(loose).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    loose = found.filter("not certain").join(known, "segment_hash", "left_semi").select("doc_id", F.lit("recurring").alias("kind"))
+    frame = scan.select("doc_id", F.explode("segments").alias("segment_hash")).join(portal_frame(scan).join(known, "segment_hash", "left_anti").select("segment_hash"), "segment_hash", "left_semi").select("doc_id", F.lit("frame").alias("kind"))
+    return direct.unionByName(loose).unionByName(frame).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

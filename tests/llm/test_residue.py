@@ -57,6 +57,24 @@ def test_messages_recur_within_one_source(documents, text):
     assert R.detect_residue(documents([(i, text, "qhse_portal") for i in range(2)] * 2)).count() == 0
 
 
+def test_frame_of_the_portal_is_found_by_recurrence(documents):
+    """A segment in no phrase list, known only by the company it keeps; and what stands beside a message in copies stays genuine."""
+    frame, genuine = "Weiter zum Hauptverzeichnis", "The pump of the line is checked."
+    rows = [(i, f"Access denied.\nNr {'abcdefghijkl'[i]}\n{frame}", "ab"[i % 2]) for i in range(12)]
+    rows += [(50, f"{frame}\nOther words.", "a"), (51, frame.upper(), None)]
+    rows += [(60 + i, f"Access denied.\n{genuine}", "ab"[i % 2]) for i in range(20)] + [(90, genuine, "a"), (91, "Nr a", "b")]
+    got = {r["doc_id"]: r["kinds"] for r in R.detect_residue(documents(rows)).collect()}
+    assert got[50] == got[51] == ["frame"] and got[0] == ["frame", "message"] and got[60] == ["message"]
+    assert not {90, 91} & set(got)
+    narrow = [(i, t, "a") for i, t, _ in rows]
+    assert 50 not in {r["doc_id"] for r in R.detect_residue(documents(narrow)).collect()}
+
+
+@pytest.mark.parametrize("text", ["test test 123 test test", "bla 1 bla 2 bla", "Text, text. text 4 text"])
+def test_filler_with_numbers(text):
+    assert R.filler_in(text.lower()) and any(sure for _, _, sure in R.findings(text))
+
+
 def test_long_segments_are_read():
     text = "Traceback (most recent call last): " + "in handler of request " * 20
     assert any(sure for _, _, sure in R.findings(text))
