@@ -44,9 +44,11 @@ _TITLE1 = rf"(CASE WHEN starts_with({_TITLE0}, clause_number) THEN trim(substr({
 _TITLE = f"(CASE WHEN {_TITLE1} = '' THEN clause_number WHEN length({_TITLE1}) > 80 THEN substr({_TITLE1}, 1, 77) || '...' ELSE {_TITLE1} END)"
 
 
-def _clauses(spark: SparkSession, d: str) -> DataFrame:
-    """Each clause once: repeated deliveries are equal rows. Partitioned by the key the operators group by, and not coalesced, as text work follows."""
-    return table(spark, d, "iso_clauses").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause_uid").distinct()
+def _clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """clause_uid and some columns (else all) of each clause once: repeated deliveries are equal rows. Partitioned by the key the operators group by, and not coalesced, as text work follows."""
+    rows = table(spark, d, "iso_clauses")
+    rows = rows.select("clause_uid", *columns) if columns else rows
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clause_uid").distinct()
 
 
 def _sections(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -62,7 +64,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Each clause as a chunk with what registry.violations asks for."""
     text = F.coalesce("text", F.lit(""))
     return _clauses(spark, d).select(
-        F.concat("norm_id", F.lit("_"), "clause_number", F.lit("_part1_p1")).alias("chunk_id"), (F.col("has_requirements") == 1).alias("has_requirements"), T.modal_count(text, T.SHALL).alias("shall_count"), T.word_count(text).alias("token_count"), T.content_type(text).alias("content_type")
+        F.concat("norm_id", F.lit("_"), "clause_number", F.lit("_part1_p1")).alias("chunk_id"), (F.col("has_requirements") == 1).alias("has_requirements"), T.modal_count(T.note_free(text), T.SHALL).alias("shall_count"), T.word_count(text).alias("token_count"), T.content_type(T.note_free(text)).alias("content_type")
     )
 
 
@@ -73,7 +75,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- scans and joins
 @query(f"SELECT clause_uid, norm_full, clause_number FROM {_CLAUSES} JOIN (SELECT DISTINCT norm_key, norm_full FROM iso_norms) USING (norm_key)")
 def clauses_with_norms(spark, d):
-    return registry.with_norms(_clauses(spark, d), table(spark, d, "iso_norms")).select("clause_uid", "norm_full", "clause_number")
+    return registry.with_norms(_clauses(spark, d, "norm_key", "clause_number"), table(spark, d, "iso_norms")).select("clause_uid", "norm_full", "clause_number")
 
 
 @query(
@@ -110,7 +112,7 @@ def filtered_clauses(spark, d):
 
 @query("SELECT norm_key, count(*) AS clauses, sum(has_requirements)::BIGINT AS requirements FROM (SELECT DISTINCT * FROM iso_clauses) GROUP BY 1")
 def clause_counts(spark, d):
-    return registry.clause_counts(_clauses(spark, d))
+    return registry.clause_counts(_clauses(spark, d, "norm_key", "has_requirements"))
 
 
 # ---------------------------------------------------------------- registry writes
@@ -198,17 +200,18 @@ def all_violations(spark, d):
 
 
 # ---------------------------------------------------------------- scalar functions
-_COUNT = r"len(regexp_extract_all(coalesce(text, ''), '(?i)\b({})\b'))"
+_NOTE_FREE = rf"regexp_replace(regexp_replace(chr(10) || coalesce(text, ''), '{T.NOTE}', '', 'g'), '^\n', '')"
+_COUNT = f"len(regexp_extract_all({_NOTE_FREE}, '(?i)\\b({{}})\\b'))"
 
 
 @query(
     f"""SELECT clause_uid, shall, should, may, can, CASE WHEN shall > 0 THEN 'requirement' WHEN should > 0 THEN 'recommendation' WHEN trim(t) <> '' THEN 'informative' ELSE 'structural' END AS content_type
-    FROM (SELECT clause_uid, coalesce(text, '') AS t, {_COUNT.format(T.SHALL)} AS shall, {_COUNT.format(T.SHOULD)} AS should, {_COUNT.format(T.MAY)} > 0 AS may, {_COUNT.format(T.CAN)} > 0 AS can FROM {_CLAUSES})"""
+    FROM (SELECT clause_uid, {_NOTE_FREE} AS t, {_COUNT.format(T.SHALL)} AS shall, {_COUNT.format(T.SHOULD)} AS should, {_COUNT.format(T.MAY)} > 0 AS may, {_COUNT.format(T.CAN)} > 0 AS can FROM {_CLAUSES})"""
 )
 def modality(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    n = lambda forms: T.modal_count(t, forms).cast("long")
-    return _clauses(spark, d).select("clause_uid", n(T.SHALL).alias("shall"), n(T.SHOULD).alias("should"), (n(T.MAY) > 0).alias("may"), (n(T.CAN) > 0).alias("can"), T.content_type(t).alias("content_type"))
+    """Counted without notes and examples."""
+    shall, should, may, can, kind = T.modality(F.coalesce("text", F.lit("")))
+    return _clauses(spark, d, "text").select("clause_uid", shall.cast("long").alias("shall"), should.cast("long").alias("should"), may.alias("may"), can.alias("can"), kind)
 
 
 @query(
@@ -220,12 +223,12 @@ def modality(spark, d):
     + " WHERE text IS NOT NULL"
 )
 def cross_references(spark, d):
-    return _clauses(spark, d).filter("text is not null").select("clause_uid", F.array_join(F.array_sort(T.cross_references("text")), "|").alias("refs"))
+    return _clauses(spark, d, "text").filter("text is not null").select("clause_uid", F.array_join(F.array_sort(T.cross_references("text")), "|").alias("refs"))
 
 
 @query(f"SELECT clause_uid, {_TITLE} AS title FROM {_CLAUSES}")
 def clean_titles(spark, d):
-    return _clauses(spark, d).select("clause_uid", T.clean_title("clause_number", "clause_title").alias("title"))
+    return _clauses(spark, d, "clause_number", "clause_title").select("clause_uid", T.clean_title("clause_number", "clause_title").alias("title"))
 
 
 @query(
@@ -233,12 +236,12 @@ def clean_titles(spark, d):
     WHEN coalesce(start, '') <> '' THEN start ELSE clause_number END AS title FROM (SELECT *, substr(trim(regexp_replace(text, '[\s\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')), 1, 80) AS start FROM {_CLAUSES})"""
 )
 def effective_titles(spark, d):
-    return _clauses(spark, d).select("clause_uid", T.effective_title("clause_number", "clause_title", "text").alias("title"))
+    return _clauses(spark, d, "clause_number", "clause_title", "text").select("clause_uid", T.effective_title("clause_number", "clause_title", "text").alias("title"))
 
 
 @query(f"SELECT clause_uid, array_to_string(string_split(clause_number, '.')[:-2], '.') AS parent, string_split(clause_number, '.')[1] AS family FROM {_CLAUSES}")
 def clause_parents(spark, d):
-    return _clauses(spark, d).select("clause_uid", T.parent_clause("clause_number").alias("parent"), T.clause_family("clause_number").alias("family"))
+    return _clauses(spark, d, "clause_number").select("clause_uid", T.parent_clause("clause_number").alias("parent"), T.clause_family("clause_number").alias("family"))
 
 
 @query(r"SELECT DISTINCT norm_full, regexp_replace(upper(string_split(norm_full, ':')[1]), '[\s-]', '', 'g') AS norm FROM iso_norms")
@@ -266,7 +269,7 @@ def canonical_lines(spark, d):
 # ---------------------------------------------------------------- corpus statistics
 @query(f"SELECT clause_uid, array_to_string(list_sort(tokens), ' ') AS tokens FROM {_TOKENS}")
 def index_tokens(spark, d):
-    return _clauses(spark, d).select("clause_uid", F.array_join(F.array_sort(T.index_tokens(F.coalesce("text", F.lit("")), "clause_number")), " ").alias("tokens"))
+    return _clauses(spark, d, "clause_number", "text").select("clause_uid", F.array_join(F.array_sort(T.index_tokens(F.coalesce("text", F.lit("")), "clause_number")), " ").alias("tokens"))
 
 
 @query(
@@ -274,7 +277,7 @@ def index_tokens(spark, d):
     FROM (SELECT clause_uid, unnest(terms) AS term FROM {_TERMS}) GROUP BY 1"""
 )
 def term_idf(spark, d):
-    clauses = _clauses(spark, d)
+    clauses = _clauses(spark, d, "text")
     return corpus.inverse_document_frequency(corpus.term_counts(clauses, "clause_uid"), clauses.count()).withColumn("idf", F.round("idf", 9))
 
 
@@ -284,11 +287,11 @@ def term_idf(spark, d):
     SELECT clause_uid, rank, term FROM (SELECT clause_uid, term, row_number() OVER (PARTITION BY clause_uid ORDER BY round(tf * idf, 9) DESC, len(string_split(term, ' ')) DESC, term) AS rank FROM c JOIN i USING (term)) WHERE rank <= 5"""
 )
 def tfidf_keywords(spark, d):
-    return corpus.tfidf_keywords(_clauses(spark, d), "clause_uid").select("clause_uid", "rank", "term")
+    return corpus.tfidf_keywords(_clauses(spark, d, "text"), "clause_uid").select("clause_uid", "rank", "term")
 
 
 def _bm25(spark, d):
-    return corpus.bm25_vectors(_clauses(spark, d).select("clause_uid", T.index_tokens(F.coalesce("text", F.lit("")), "clause_number").alias("tokens")), "clause_uid")
+    return corpus.bm25_vectors(_clauses(spark, d, "clause_number", "text").select("clause_uid", T.index_tokens(F.coalesce("text", F.lit("")), "clause_number").alias("tokens")), "clause_uid")
 
 
 _BM25 = f"""(WITH c AS (SELECT * FROM {_TOKENS}), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avg FROM c), t AS (SELECT clause_uid, len(tokens) AS len, unnest(tokens) AS token FROM c),
@@ -336,7 +339,7 @@ def dense_top_k(spark, d):
 
 
 def _sparse(spark, d, k=20):
-    tokens = _clauses(spark, d).filter("clause_uid % 50 = 0").select(F.col("clause_uid").alias("query_id"), T.words(F.coalesce("clause_title", F.lit(""))).alias("tokens"))
+    tokens = _clauses(spark, d, "clause_title").filter("clause_uid % 50 = 0").select(F.col("clause_uid").alias("query_id"), T.words(F.coalesce("clause_title", F.lit(""))).alias("tokens"))
     return retrieval.sparse_top_k(_bm25(spark, d), corpus.query_vectors(tokens, "query_id"), k, "clause_uid")
 
 
@@ -364,7 +367,7 @@ def hybrid_top_k(spark, d):
     SELECT query_id, first_rank, coalesce(first_rank <= 10, FALSE) AS hit FROM e LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM r JOIN e USING (query_id) WHERE starts_with(clause_number, p) GROUP BY 1) USING (query_id)"""
 )
 def hit_rate(spark, d):
-    clauses = _clauses(spark, d)
+    clauses = _clauses(spark, d, "clause_number")
     expected = clauses.filter("clause_uid % 50 = 0").select(F.col("clause_uid").alias("query_id"), F.array(T.clause_family("clause_number")).alias("expected_any"))
     return retrieval.hit_rate(_sparse(spark, d).join(clauses.select("clause_uid", "clause_number"), "clause_uid"), expected)
 
@@ -374,7 +377,7 @@ def hit_rate(spark, d):
     SELECT query_id, clause_uid, place FROM (SELECT query_id, clause_uid, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, tw)) / len(qw) ELSE 0 END, 9) DESC, rank, clause_uid) AS place FROM c) WHERE place <= 5"""
 )
 def reranked(spark, d):
-    clauses = _clauses(spark, d)
+    clauses = _clauses(spark, d, "clause_title", "text")
     asked = clauses.filter("clause_uid % 50 = 0").select(F.col("clause_uid").alias("query_id"), F.coalesce("clause_title", F.lit("")).alias("asked"))
     rows = _sparse(spark, d).join(clauses.select("clause_uid", F.coalesce("text", F.lit("")).alias("text")), "clause_uid").join(asked, "query_id")
     return retrieval.rerank(rows, "clause_uid", retrieval.overlap_score(F.col("asked"), F.col("text")), 5).select("query_id", "clause_uid", "place")
@@ -438,11 +441,6 @@ def markdown_sections(spark, d):
     return rows.select("parsed_id", "section_no", F.col("level").cast("long").alias("level"), "title", F.length("raw_text").cast("long").alias("chars"))
 
 
-@query()
-def packed_chunks(spark, d):
-    return segment.chunks(_clauses(spark, d)).select("clause_uid", "part", "words", "content_type")
-
-
 _CONTAINS = lambda col, forms: " OR ".join(f"contains({col}, '" + f.replace("'", "''") + "')" for f in forms)
 _TYPE = "CASE " + " ".join(f"WHEN {_CONTAINS('t', f)} THEN '{n}'" for n, f in segment.TITLE_TYPES) + " " + " ".join(f"WHEN {_CONTAINS('b', f)} THEN '{n}'" for n, f in segment.BODY_TYPES) + " ELSE 'procedure_text' END"
 
@@ -497,7 +495,7 @@ def pending_documents(spark, d):
 @query(f"SELECT norm_key, clause_number, len(tokens) AS token_count FROM {_TOKENS} JOIN {_CLAUSES} USING (clause_uid)")
 def token_registry(spark, d):
     tokens = T.index_tokens(F.coalesce("text", F.lit("")), "clause_number")
-    return _clauses(spark, d).select("norm_key", "clause_number", F.size(tokens).cast("long").alias("token_count"))
+    return _clauses(spark, d, "norm_key", "clause_number", "text").select("norm_key", "clause_number", F.size(tokens).cast("long").alias("token_count"))
 
 
 # ---------------------------------------------------------------- layout and streams
@@ -584,3 +582,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import catalog_pages, catalog_text  # noqa: E402, F401  they add their queries to these

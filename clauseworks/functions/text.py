@@ -11,6 +11,14 @@ SHOULD = "should|il convient|it is recommended|devrait|devraient"
 MAY = "may|peut|peuvent"
 CAN = "can"
 
+# Modal terms of the vocabulary scan, by language.
+MODAL_EN = ["shall", "must", "is required to", "should", "it is recommended", "may", "is permitted", "can"]
+MODAL_FR = ["doit", "doivent", "est tenu de", "il convient", "peut", "peuvent", "est permis", "il est possible de"]
+CLAUSE = r"\b\d+\.\d+(?:\.\d+)*\b"
+# How a note, an example and a lettered item begin.
+NOTE = r"(?i)\n[^\S\n]*(?:NOTE|EXAMPLE)[^\n]*(?:\n[^\n]*\S[^\n]*)*"
+LETTERED = r"(?m)^\s*[a-z]\)\s"
+
 # Stop words of the term extractor.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by from as is are was were be been being have has had do does did will"
@@ -26,6 +34,7 @@ REF_CLAUSE_FR = r"(?i)(?:voir|r[eé]f[eé]rence\s+en|mentionn[eé]e?s?\s+en|conf
 REF_ISO = r"(?i)\bISO[\s\x{a0}]+\d{4,5}(?:[-/]\d+)?(?::\d{4})?\b"
 REF_ANNEX = r"(?i)\bAnnex(?:e)?\s+([A-Z])\b"
 
+# Fixed value: marks that the tokenizer drops.
 MARKUP = r"(?s)#+\s|<!--.*?-->|\*\*|\*|`|\[.*?\]"
 SPARSE_DIMENSION = 1 << 17
 #: Name space of deterministic ids (RFC 4122, DNS).
@@ -74,10 +83,36 @@ def modal_count(text: Column | str, forms: str) -> Column:
     return F.size(F.regexp_extract_all(_c(text), F.lit(rf"(?i)\b({forms})\b"), F.lit(0)))
 
 
+def note_free(text: Column | str) -> Column:
+    """The text without NOTE and EXAMPLE blocks, each from its line up to the next blank one, which stays."""
+    return F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), _c(text)), NOTE, ""), r"^\n", "")
+
+
 def content_type(text: Column | str) -> Column:
-    """requirement over recommendation over informative; structural when blank."""
+    """Of a text without notes: requirement over recommendation over informative; structural when blank."""
     t = _c(text)
-    return F.when(modal_count(t, SHALL) > 0, "requirement").when(modal_count(t, SHOULD) > 0, "recommendation").when(F.trim(t) != "", "informative").otherwise("structural")
+    return F.when(t.rlike(rf"(?i)\b({SHALL})\b"), "requirement").when(t.rlike(rf"(?i)\b({SHOULD})\b"), "recommendation").when(F.trim(t) != "", "informative").otherwise("structural")
+
+
+def modality(text: Column | str) -> list[Column]:
+    """shall_count, should_count, has_permissions, has_capabilities, content_type, counted without notes and examples."""
+    t = note_free(text)
+    return [modal_count(t, SHALL).alias("shall_count"), modal_count(t, SHOULD).alias("should_count"), t.rlike(rf"(?i)\b({MAY})\b").alias("has_permissions"), t.rlike(rf"(?i)\b({CAN})\b").alias("has_capabilities"), content_type(t).alias("content_type")]
+
+
+def obligations(text: Column | str) -> Column:
+    """Discrete obligations: the lettered items of a text that binds, else its binding words."""
+    t = note_free(text)
+    items, bound = F.size(F.regexp_extract_all(t, F.lit(LETTERED), F.lit(0))), modal_count(t, SHALL)
+    return F.when((bound > 0) & (items > 0), items).otherwise(bound)
+
+
+def modal_terms(text: Column | str, language: Column | str) -> Column:
+    """Modal terms of the language (French for FR, else English) and clause numbers in the text, sorted."""
+    low = F.lower(_c(text))
+    find = lambda terms: F.array_compact(F.array(*[F.when(low.rlike(rf"\b{t}\b"), F.lit(t)) for t in terms]))
+    modal = F.when(_c(language) == "FR", find(MODAL_FR)).otherwise(find(MODAL_EN))
+    return F.array_sort(F.array_distinct(F.concat(modal, F.regexp_extract_all(_c(text), F.lit(CLAUSE), F.lit(0)))))
 
 
 def cross_references(text: Column | str) -> Column:
@@ -146,8 +181,15 @@ def fold(text: Column | str) -> Column:
 
 
 def slug(title: Column | str, index: Column | int) -> Column:
+    """section_ + title in letters and digits + _ + index; a title without any is section_ + index again."""
     body = F.btrim(F.regexp_replace(fold(title), r"[^a-z0-9]+", "_"), F.lit("_"))
-    return F.concat_ws("_", F.lit("section"), F.when(body == "", "untitled").otherwise(body), F.lit(index) if isinstance(index, int) else index)
+    i = F.lit(index) if isinstance(index, int) else index
+    return F.concat_ws("_", F.lit("section"), F.when(body == "", F.concat(F.lit("section_"), i)).otherwise(body), i)
+
+
+def type_name(value: Column | str) -> Column:
+    """A section type as a bare upper-case name: hyphens and blanks as underscores, without an enum's prefix."""
+    return F.substring_index(F.upper(F.translate(F.trim(_c(value)), "- ", "__")), ".", -1)
 
 
 def extraction_confidence(text: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..runtime import settle
 
 K1, B = 1.2, 0.75
 #: Vocabulary forms that may be broadcast; beyond it they meet the texts by a shuffled join.
@@ -27,7 +28,7 @@ def inverse_document_frequency(counts: DataFrame, n: int) -> DataFrame:
 
 def tfidf_keywords(chunks: DataFrame, key: str, column: str = "text", top: int = 5) -> DataFrame:
     """key, rank, term, score: best terms of each chunk, phrases before words, then by name."""
-    counts = term_counts(chunks, key, column)
+    counts = settle(term_counts(chunks, key, column), "term_counts")
     scored = counts.join(inverse_document_frequency(counts, chunks.count()), "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 9))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc(F.size(F.split("term", " "))), "term")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select(key, "rank", "term", "score")
@@ -35,6 +36,7 @@ def tfidf_keywords(chunks: DataFrame, key: str, column: str = "text", top: int =
 
 def bm25_vectors(chunks: DataFrame, key: str, tokens: str = "tokens", k1: float = K1, b: float = B) -> DataFrame:
     """key, idx, weight: BM25 weights by hashed token, summed where tokens collide; non-positive weights dropped."""
+    chunks = settle(chunks.select(key, tokens), "tokens")  # read for the mean, the frequencies and the weights
     long = chunks.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
     n, mean = chunks.agg(F.count("*"), F.avg(F.size(tokens))).first()
     df = long.groupBy("token").agg(F.count("*").alias("df"))
@@ -70,3 +72,18 @@ def vocabulary_hits(texts: DataFrame, key: str, column: str, forms: DataFrame) -
     runs = F.concat(none, *[F.when(F.size("w") >= n, _sequences("w", n)).otherwise(none) for n in lengths])
     grams = words.select(key, F.explode(F.array_distinct(runs)).alias("form"))
     return grams.join(known, "form").select(key, "canonical").distinct()
+
+
+def scoped_hits(texts: DataFrame, key: str, column: str, vocabulary: DataFrame, scope: str) -> DataFrame:
+    """key, canonical: the entries of vocabulary(canonical, standards, form) that stand in the text and hold for one of the standards in its scope (all where it is empty)."""
+    hits = vocabulary_hits(texts, key, column, vocabulary.select("canonical", "form"))
+    standards = vocabulary.select("canonical", F.explode("standards").alias("standard")).distinct()
+    wide = texts.filter(F.size(F.coalesce(scope, F.array().cast("array<string>"))) == 0).select(key)
+    narrow = hits.join(texts.select(key, F.explode(scope).alias("standard")).distinct(), key).join(standards, ["canonical", "standard"], "left_semi").select(key, "canonical")
+    return narrow.unionByName(hits.join(wide, key, "left_semi").select(key, "canonical")).distinct()
+
+
+def sorted_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """key, indices, values: each sparse vector as two arrays in the order of the indices."""
+    pairs = vectors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("v"))
+    return pairs.select(key, F.transform("v", lambda x: x["idx"]).alias("indices"), F.transform("v", lambda x: x["weight"]).alias("values"))

@@ -76,6 +76,13 @@ def check_failures(embedded: DataFrame, critical: float = CRITICAL) -> float:
     return rate
 
 
+def failure_states(embedded: DataFrame, key: str, warn: float = WARN, critical: float = CRITICAL) -> DataFrame:
+    """key, n, failed, rate, state of embedded(key, error): ok, warn above the first threshold, critical above the second."""
+    rows = embedded.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    rate = F.col("failed") / F.col("n")
+    return rows.withColumn("rate", F.round(rate, 9)).withColumn("state", F.when(rate > critical, "critical").when(rate > warn, "warn").otherwise("ok"))
+
+
 def check_collection(existing: dict | None, model: str, sparse_dimension: int) -> dict:
     """The sidecar row of a vector collection; another model or dimension than the stored one is refused, a missing row is taken over."""
     want = {"model": model, "sparse_dimension": sparse_dimension}

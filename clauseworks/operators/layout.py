@@ -69,3 +69,35 @@ def page_ranges(starts: DataFrame, doc: str, order: str, start: str, total: str)
     first = starts.withColumn("page_start", F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     nxt = F.lead("page_start").over(w)
     return first.withColumn("page_end", F.when(nxt.isNull(), F.greatest("page_start", total)).otherwise(F.greatest(F.col("page_start"), nxt - 1)))
+
+
+NO_INDENT, LINE_SPACING = 0.0, 12.0
+
+
+def block_text(lines):
+    """Text of a block from its lines of spans: spans joined, control characters out, line ends trimmed, lines kept apart."""
+    line = lambda spans: F.rtrim(F.regexp_replace(F.array_join(F.transform(spans, lambda s: s["text"]), ""), r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]", ""))
+    return F.btrim(F.array_join(F.transform(lines, line), "\n"), F.lit(" \n\t"))
+
+
+def dominant_size(lines):
+    """Largest font size of a block's spans that hold text, 0 without any."""
+    sizes = F.transform(F.filter(F.flatten(lines), lambda s: F.trim(s["text"]) != ""), lambda s: s["size"])
+    return F.round(F.coalesce(F.array_max(sizes), F.lit(0.0)), 1)
+
+
+def layout_means(blocks: DataFrame, body: DataFrame, doc: str, gap: float = FONT_GAP) -> DataFrame:
+    """doc, indent, spacing: means over the blocks(doc, size, x0, height, lines) in body size (body: doc, body); 0 and 12 where there are none."""
+    rows = blocks.join(body, doc).filter(F.abs(F.col("size") - F.col("body")) <= gap)
+    means = rows.groupBy(doc).agg(F.avg("x0").alias("indent"), F.avg(F.when(F.col("height") > 0, F.col("height") / F.col("lines"))).alias("spacing"))
+    return body.select(doc).join(means, doc, "left").select(doc, F.coalesce("indent", F.lit(NO_INDENT)).alias("indent"), F.coalesce("spacing", F.lit(LINE_SPACING)).alias("spacing"))
+
+
+def block_markdown(text, level, furniture):
+    """Markdown of a block: null when furniture(array) or empty; furniture lines and page numbers beside them out; headings with their marks."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    some = F.exists(lines, lambda x: F.array_contains(furniture, x))
+    left = F.filter(lines, lambda x: ~F.array_contains(furniture, x) & ~x.rlike(r"^[ivxlcdmIVXLCDM\d]+$"))
+    body = F.when(some, F.array_join(left, "\n")).otherwise(text)
+    marked = F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), body)).otherwise(body)
+    return F.when((F.coalesce(text, F.lit("")) != "") & ~F.array_contains(furniture, text) & (body != ""), marked)

@@ -148,3 +148,67 @@ def json_array(raw: Column, schema: str) -> Column:
     tries = [t, F.regexp_replace(t, r"(?s)^```(?:json)?\s*|\s*```$", ""), F.regexp_extract(t, r"(?s)\[.*\]", 0)]
     parsed = [F.when(F.startswith(F.trim(x), F.lit("[")), F.from_json(x, f"array<{schema}>")) for x in tries]
     return F.coalesce(*parsed)
+
+
+# Words that mark a repeated line as header or footer.
+MARKERS = ("edition", "indice", "code", "page:", "page ", "footer", "header")
+REPEATS, LEAST_LINES = 2, 20
+
+
+def text_lines(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """key, pos, line: every line of a text, line ends of all kinds."""
+    return texts.filter(F.col(column).isNotNull()).select(key, F.posexplode(F.split(F.regexp_replace(column, "\r\n?", "\n"), "\n")).alias("pos", "line"))
+
+
+def repeated_signatures(lines: DataFrame, key: str, repeats: int = REPEATS, least: int = LEAST_LINES) -> DataFrame:
+    """lines with fate: repeated (a header or footer line that its document of at least so many lines repeats), separator (rules beside one), else null."""
+    marked = lines.withColumn("canonical", T.canonical_line("line"))
+    first = marked.filter("canonical <> ''").groupBy(key, "canonical").agg(F.count("*").alias("n"), F.min_by("line", "pos").alias("sample"))
+    sign = F.contains("sample", F.lit("|"))
+    for m in MARKERS:
+        sign |= F.contains(F.lower("sample"), F.lit(m))
+    size = lines.groupBy(key).agg(F.count("*").alias("lines")).filter(F.col("lines") >= least).select(key)
+    known = first.filter((F.col("n") >= repeats) & sign).join(size, key, "left_semi").select(key, "canonical", F.lit(True).alias("gone"))
+    rows = marked.join(known, [key, "canonical"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    order = Window.partitionBy(key).orderBy("pos")
+    beside = F.coalesce(F.lag("gone").over(order), F.lit(False)) | F.coalesce(F.lead("gone").over(order), F.lit(False))
+    # the bars' class holds a backslash and the letter s as well
+    rule = F.regexp_replace("line", r"[|\\s]", "").rlike(r"^[-:]+$")
+    return rows.withColumn("beside", beside).select(key, "pos", "line", F.when(F.col("gone"), "repeated").when(rule & F.col("beside"), "separator").alias("fate"))
+
+
+def normal_spacing(text: Column | str) -> Column:
+    """Without blanks at line ends and lines of blanks, at most one empty line in a row, trimmed."""
+    t = F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n[ \t]+\n", "\n\n")
+    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n\t\r\f"))
+
+
+def printable(text: Column | str) -> Column:
+    """Without control characters other than tab, line feed and carriage return."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]", "")
+
+
+def without_page_numbers(text: Column | str) -> Column:
+    """Without lines of digits only; the blank lines around such a line go with it."""
+    return F.regexp_replace(text, r"(?m)^\s*\d+\s*$", "")
+
+
+def zones(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """lines with zone: front (up to the first normative clause; all of a text without one), clauses, back (from the first annex after that on)."""
+    start = lines.filter(F.col("line").rlike(r"^(?:#+\s*)?1\s+[A-Z]")).groupBy(key).agg(F.min("pos").alias("_start"))
+    rows = lines.join(start, key, "left")
+    end = rows.filter((F.col("pos") >= F.col("_start")) & F.col("line").rlike(r"(?i)^(?:#+\s*)?(?:Annexe|Annex|Appendix)\b")).groupBy(key).agg(F.min("pos").alias("_end"))
+    zone = F.when(F.col("_start").isNull() | (F.col("pos") < F.col("_start")), "front").when(F.col("pos") >= F.col("_end"), "back").otherwise("clauses")
+    return rows.join(end, key, "left").withColumn("zone", zone).drop("_start", "_end")
+
+
+def heading_items(items: DataFrame) -> DataFrame:
+    """Items(label, text, ...) that are headings: by label, or numbered like one."""
+    label = F.upper(F.coalesce("label", F.lit("")))
+    return items.filter(label.rlike("SECTION_HEADER|TITLE|HEADING") | F.trim("text").rlike(r"^\d+(\.\d+)*[.)]?\s+\S"))
+
+
+def page_of_items(items: DataFrame, doc: str) -> DataFrame:
+    """doc, key, page: heading items as comparable keys with their first page, at least 1."""
+    key = F.trim(F.regexp_replace(T.fold("text"), r"[^a-z0-9]+", " "))
+    return heading_items(items).select(doc, key.alias("key"), F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)).alias("page")).filter("key <> ''")

@@ -97,3 +97,38 @@ def violations(chunks: DataFrame) -> DataFrame:
         )
     )
     return chunks.select(F.col("chunk_id").alias("row_key"), F.explode(rules).alias("rule"))
+
+
+def lookup(points: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Points with the ids asked for."""
+    return points.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def delete_points(points: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Points without those of the ids, as a rewrite."""
+    return points.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def menus(menu: DataFrame) -> DataFrame:
+    """norm_key, clauses: the clause menu as one ordered list a norm."""
+    listed = F.array_sort(F.collect_list(F.struct("position", "clause_number", "title")))
+    return menu.groupBy("norm_key").agg(F.transform(listed, lambda x: F.struct(x["clause_number"], x["title"])).alias("clauses"))
+
+
+def norm_labels(documents: DataFrame, norms: DataFrame, key: str = "standard_id") -> DataFrame:
+    """documents with norm_id, norm_full and norm_version of their standard; unknown ones get their name in capitals, their name and nothing."""
+    known = norms.select(F.col("norm_full").alias(key), F.col("norm_id").alias("_id"), F.col("norm_version").alias("_version")).dropDuplicates([key])
+    rows = documents.join(known, key, "left")
+    return rows.select(*documents.columns, F.coalesce("_id", F.upper(key)).alias("norm_id"), F.col(key).alias("norm_full"), F.coalesce("_version", F.lit("")).alias("norm_version"))
+
+
+def chunk_records(chunks: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and the registry's columns of chunks(norm_id, clause_number, part, parts, page, text, keywords, ...): id, counts, flags and comma-joined lists."""
+    shall, should, may, can, kind = T.modality("text")
+    rows = chunks.withColumns({"_" + n: c for n, c in zip(("shall", "should", "may", "can", "kind"), (shall, should, may, can, kind))})
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",")
+    return rows.select(
+        *keep, T.chunk_id("norm_id", "clause_number", F.col("part"), F.col("page")).alias("chunk_id"), "norm_id", "clause_number", T.clause_family("clause_number").alias("clause_family"), T.parent_clause("clause_number").alias("parent_clause"),
+        F.col("page").alias("page_number"), F.col("part").alias("chunk_index"), F.col("parts").alias("total_chunks"), T.word_count("text").alias("token_count"), F.col("_kind").alias("content_type"), F.col("_shall").alias("shall_count"), F.col("_should").alias("should_count"),
+        (F.col("_shall") > 0).alias("has_requirements"), F.col("_may").alias("has_permissions"), (F.col("_should") > 0).alias("has_recommendations"), F.col("_can").alias("has_capabilities"), joined("keywords").alias("keywords"), joined(T.cross_references("text")).alias("related_clauses"),
+    )

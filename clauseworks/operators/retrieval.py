@@ -130,3 +130,42 @@ def hit_rate(ranked: DataFrame, expected: DataFrame, cutoff: int = 10) -> DataFr
     hits = ranked.join(expected, "query_id").filter(F.exists("expected_any", lambda p: F.startswith(F.col("clause_number"), p)))
     first = hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return expected.select("query_id").join(first, "query_id", "left").select("query_id", "first_rank", F.coalesce(F.col("first_rank") <= cutoff, F.lit(False)).alias("hit"))
+
+
+#: Prefixes of a text to embed, by side.
+QUERY_PREFIX, DOCUMENT_PREFIX = "search_query: ", "search_document: "
+
+
+def augmented(tokens: Column, hits: Column) -> Column:
+    """Query tokens with the words of vocabulary hits and the digits of clause numbers among them, each once, sorted."""
+    number = F.filter(hits, lambda h: h.rlike(r"^\d+\.\d+(\.\d+)*$"))
+    phrase = F.filter(hits, lambda h: ~h.rlike(r"^\d+\.\d+(\.\d+)*$"))
+    none = F.array().cast("array<string>")
+    digits = F.flatten(F.transform(number, lambda h: F.split(h, r"\.")))
+    words = F.filter(F.flatten(F.transform(phrase, lambda h: F.split(F.lower(h), r"\s+"))), lambda w: w != "")
+    return F.array_sort(F.array_distinct(F.concat(tokens, F.coalesce(digits, none), F.coalesce(words, none))))
+
+
+def transform_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """query_id, embed_text, hits, tokens of queries(query_id, query, language, norms, specific): vocabulary hits within the norms, modal terms, and tokens with all of them and the specific clauses."""
+    from .corpus import scoped_hits
+
+    found = scoped_hits(queries.select("query_id", "query", "norms"), "query_id", "query", vocabulary, "norms").groupBy("query_id").agg(F.collect_set("canonical").alias("found"))
+    none = F.array().cast("array<string>")
+    rows = queries.join(found, "query_id", "left").withColumn("hits", F.array_sort(F.array_distinct(F.concat(F.coalesce("found", none), T.modal_terms("query", "language")))))
+    first = F.regexp_extract("query", T.CLAUSE, 0)
+    return rows.select("query_id", F.concat(F.lit(QUERY_PREFIX), "query").alias("embed_text"), "hits", augmented(T.index_tokens("query", first), F.concat("hits", F.coalesce("specific", none))).alias("tokens"))
+
+
+def hit_rates(hits: DataFrame, tiers: DataFrame) -> DataFrame:
+    """tier, queries, hits, rate by tiers(query_id, tier), and over all."""
+    rows = hits.join(tiers, "query_id").select(F.explode(F.array("tier", F.lit("all"))).alias("tier"), F.col("hit").cast("int").alias("hit"))
+    return rows.groupBy("tier").agg(F.count("*").alias("queries"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 9).alias("rate"))
+
+
+def merge_by_score(lists: Sequence[DataFrame], key: str, k: int) -> DataFrame:
+    """query_id, key, score, rank: the best k of several collections by score, each key with its best one."""
+    both = lists[0].select("query_id", key, "score")
+    for x in lists[1:]:
+        both = both.unionByName(x.select("query_id", key, "score"))
+    return rank(both.groupBy("query_id", key).agg(F.max("score").alias("score")), key).filter(F.col("rank") <= k)

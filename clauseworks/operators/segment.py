@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,7 +79,7 @@ def pack_paragraphs(text: Column, most: int = MAX_WORDS) -> Column:
 def chunks(clauses: DataFrame, key: str = "clause_uid", most: int = MAX_WORDS) -> DataFrame:
     """key, part, text, words, content_type of clauses(key, text); blank clauses give none."""
     rows = clauses.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, F.posexplode(pack_paragraphs(F.col("text"), most)).alias("part", "text"))
-    return rows.select(key, (F.col("part") + 1).alias("part"), "text", T.word_count("text").alias("words"), T.content_type("text").alias("content_type"))
+    return rows.select(key, (F.col("part") + 1).alias("part"), "text", T.word_count("text").alias("words"), T.content_type(T.note_free("text")).alias("content_type"))
 
 
 def section_type(title: Column, body: Column) -> Column:
@@ -134,11 +136,37 @@ def quality(sections: DataFrame, key: str) -> DataFrame:
 
 def note_free(text: Column) -> Column:
     """The text without NOTE and EXAMPLE blocks, each up to its blank line."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+    return T.note_free(text)
+
+
+def without_lettered(found: DataFrame) -> DataFrame:
+    """Spans without those whose title is a lettered sub-item, which is no clause of its own."""
+    return found.filter(~F.col("title").rlike(r"^[a-z][).][ \t]"))
+
+
+def leaf_bounds(leaves: DataFrame, low: int, high: int) -> DataFrame:
+    """leaves with whether their number lies within the bounds that a standard of this kind has."""
+    return leaves.withColumn("within", F.col("leaves").between(low, high))
+
+
+def trim_trailing(sections: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Sections up to the last of each document that has a body."""
+    w = Window.partitionBy(key).orderBy(*order)
+    body = F.trim(F.coalesce("raw_text", F.lit(""))) != ""
+    rows = sections.withColumn("_at", F.row_number().over(w))
+    last = F.max(F.when(body, F.col("_at"))).over(Window.partitionBy(key))
+    return rows.withColumn("_last", last).filter(F.col("_at") <= F.col("_last")).drop("_at", "_last")
+
+
+def title_of(first_heading: Column, name: Column) -> Column:
+    """Title of a document: its first heading on the first page, else its file's name without folder and suffix."""
+    line = F.trim(F.split(first_heading, "\n")[0])
+    stem = F.regexp_replace(F.substring_index(name, "/", -1), r"\.[^.]*$", "")
+    return F.when(F.coalesce(line, F.lit("")) != "", line).otherwise(stem)
 
-    def step(acc: Column, line: Column) -> Column:
-        opens = line.rlike(r"(?i)^(?:NOTE|EXAMPLE)\s*\d*\s*[:\-—]?")
-        inside = (acc["inside"] | opens) & (F.trim(line) != "")
-        return F.struct(inside.alias("inside"), F.when(inside, acc["out"]).otherwise(F.array_append(acc["out"], line)).alias("out"))
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+def promote_fields(body: Column, kind: Column, fields: Column) -> Column:
+    """A metadata preamble with its key-value lines appended, unless it holds them already."""
+    lines = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    wanted = (kind == "metadata") & (F.coalesce(lines, F.lit("")) != "") & ~F.contains(body, lines)
+    return F.when(wanted, F.btrim(F.concat(body, F.lit("\n\n"), lines), F.lit(" \n\t"))).otherwise(body)
