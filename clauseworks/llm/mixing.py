@@ -3,7 +3,7 @@
 Method: every document gets a hash-random key; within each source the keys are range-partitioned, token counts are prefix-summed in
 two levels (ranges, then rows), and the order is cut at the source's exact budget. A budget above the source's tokens takes whole
 epochs first and cuts the last one. A document too long for what is left ends a sweep; further sweeps over the documents that still
-fit, SWEEPS in all, use up the rest. The total is the largest for which no source needs more than its max_repeats epochs, or a
+fit use up the rest, until none fits. The total is the largest for which no source needs more than its max_repeats epochs, or a
 given smaller one.
 
 Sources are matched in lower case with one separator; documents without source, target or tokens aren't used. A source of the
@@ -21,7 +21,6 @@ from ..runtime import settle
 SEED = 17
 #: Documents in one range of keys, about.
 RANGE = 500_000
-SWEEPS = 3
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
@@ -45,10 +44,12 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tuple
     rows = sizes.filter("tokens > 0").join(small, "source").withColumn("key", F.xxhash64(F.lit(SEED), "doc_id"))
     rows = rows.select("source", "doc_id", "tokens", "key", epochs.cast("int").alias("epochs"), (F.col("budget") - epochs * F.col("available")).cast("long").alias("left"))
     rows = rows.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")).withColumn("more", F.lit(0))
-    for _ in range(SWEEPS):
+    while True:  # each sweep takes a document of every source that has one left to fit
         rows = settle(_sweep(rows), "sweep")
         used = rows.groupBy("source").agg(F.sum(F.when(F.col("more") == 2, F.col("tokens")).otherwise(0)).alias("used"))
         rows = rows.join(F.broadcast(used), "source").select("source", "doc_id", "tokens", "key", "epochs", (F.col("left") - F.col("used")).alias("left"), "range", F.least("more", F.lit(1)).alias("more"))
+        if rows.filter((F.col("more") == 0) & (F.col("tokens") <= F.col("left"))).isEmpty():
+            break
     return rows.select("source", "doc_id", "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies")).filter("copies > 0"), plan
 
 

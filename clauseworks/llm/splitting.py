@@ -12,17 +12,17 @@ piece (blank: none). Repeated rows of an item count once.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import over_batches, prepare, settle
+from ..runtime import over_batches, prepare, settle, widen
 
 LIMIT, OVERLAP = 600, 60
 #: Code points (of texts) or bytes (of files) in a range.
@@ -33,6 +33,7 @@ PARAGRAPH, SENTENCE, CLAUSE = 3, 2, 1
 # The characters with Unicode's White_Space property.
 _SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[^{_SPACE}]+")
+_LEADING = re.compile(f"[{_SPACE}]*")
 _ODD = re.compile("[\x1c-\x1f]")
 _SENTENCE_END = re.compile("[.!?…][\"'»”’)\\]]*$")
 _CLAUSE_END = re.compile("[,;:)\\]–—]$")
@@ -43,19 +44,37 @@ def count_words(text: str) -> int:
     return len((_ODD.sub("x", text) if _ODD.search(text) else text).split())
 
 
+RANGES = "record_kind string, record_uid long, range_no int, before string, body string, after string"
+
+
+def slices(text: str, size: int = RANGE) -> Iterator[tuple[str, str, str]]:
+    """Halo, body and halo of each range of a text, one at a time."""
+    for a in range(0, max(len(text), 1), size):
+        yield text[max(0, a - HALO) : a], text[a : a + size], text[a + size : a + size + HALO]
+
+
 def ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
-    """record_kind, record_uid, range_no, before, body, after: each text in ranges of size code points with halos; cut in the JVM."""
-    at = F.col("range_no") * size
-    last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / size)).cast("int")
-    rows = items.filter(F.col("text").isNotNull() & F.col("record_uid").isNotNull())
-    return rows.select("record_kind", "record_uid", "text", F.explode(F.sequence(F.lit(0), last)).alias("range_no")).select(
-        "record_kind",
-        "record_uid",
-        "range_no",
-        F.when(F.col("range_no") == 0, "").otherwise(F.substring("text", at + 1 - HALO, F.lit(HALO))).alias("before"),
-        F.when(last == 0, F.col("text")).otherwise(F.substring("text", at + 1, F.lit(size))).alias("body"),
-        F.substring("text", at + 1 + size, F.lit(HALO)).alias("after"),
-    )
+    """record_kind, record_uid, range_no, before, body, after: each text in ranges of size code points with halos, a few of them in memory at a time."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in RANGES.split(", ")])
+
+        rows: list[tuple] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                kind, uid, text = (c[i].as_py() for c in b.columns)
+                for no, part in enumerate(slices(text, size)):
+                    rows.append((kind, uid, no, *part))
+                    if len(rows) == 64:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    known = items.filter(F.col("text").isNotNull() & F.col("record_uid").isNotNull())
+    return over_batches(known.select("record_kind", "record_uid", "text"), cut, RANGES)
 
 
 def _own_words(before: str, body: str) -> int:
@@ -64,17 +83,16 @@ def _own_words(before: str, body: str) -> int:
     return n - bool(n and before and _WORD.match(before[-1]) and _WORD.match(body[0]))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [_own_words(x or "", y or "") for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["record_kind", "record_uid", "range_no", "words"])
-
-
 def word_counts(items: DataFrame, size: int = RANGE) -> DataFrame:
     """record_kind, record_uid, words: summed over the ranges of each item, repeated rows once."""
-    n = over_batches(ranges(items, size), _count, "record_kind string, record_uid long, range_no int, words long")
-    per_range = n.groupBy("record_kind", "record_uid", "range_no").agg(F.max("words").alias("words"))
-    return per_range.groupBy("record_kind", "record_uid").agg(F.sum("words").alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [sum(_own_words(x, y) for x, y, _ in slices(t, size)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["record_kind", "record_uid", "words"])
+
+    known = widen(items.select("record_kind", "record_uid", "text")).filter(F.col("text").isNotNull() & F.col("record_uid").isNotNull())
+    return over_batches(known, count, "record_kind string, record_uid long, words long").groupBy("record_kind", "record_uid").agg(F.max("words").alias("words"))
 
 
 def oversized(items: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -90,7 +108,7 @@ def boundaries(before: str, body: str, after: str) -> tuple[int, list[int], list
         if z == len(body) and after and _WORD.match(after[0]):
             continue  # the word goes on; the next range sees its end
         word = body[a:z] if a else before[-HALO:] + body[:z] if runs_on else body[:z]
-        gap = body[z : spans[i + 1][0]] if i + 1 < len(spans) else body[z:] + after
+        gap = body[z : spans[i + 1][0]] if i + 1 < len(spans) else body[z:] + _LEADING.match(after)[0]
         s = PARAGRAPH if _BLANK_LINE.search(gap) else SENTENCE if _SENTENCE_END.search(word) else CLAUSE if _CLAUSE_END.search(word) else 0
         if s:
             at.append(i + 1 - runs_on)
@@ -171,38 +189,72 @@ def _pieces(parts_of: DataFrame, limit: int, overlap: int) -> DataFrame:
     return parts.groupBy("record_kind", "record_uid", "piece_no").agg(F.max("words").alias("words"), text.alias("text"))
 
 
+def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, str]]:
+    """(words, text) of the pieces of a text that is one range; none for a blank one, and the text as it stands within the limit."""
+    n = count_words(text)
+    if n <= limit:
+        return [(n, text)] if n else []
+    _, at, strength = boundaries("", text, "")
+    spans = [m.span() for m in _WORD.finditer(text)]
+    cuts = place_cuts(n, np.asarray(at, np.int64), np.asarray(strength, np.int64), limit, overlap)
+    return [(z - a, text[spans[a][0] : spans[z - 1][1]]) for a, z in cuts]
+
+
 def split_texts(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
-    """record_kind, record_uid, piece_no, words, text: the pieces of every item(record_kind, record_uid, text); small items stay whole."""
-    items = items.select("record_kind", "record_uid", "text")
-    n = settle(word_counts(items, size), "item_words")
-    large = items.join(n.filter(F.col("words") > limit), ["record_kind", "record_uid"], "left_semi")
-    parts = settle(ranges(large, size).dropDuplicates(["record_kind", "record_uid", "range_no"]), "ranges")
-    small = items.join(n.filter(F.col("words").between(1, limit)), ["record_kind", "record_uid"]).dropDuplicates(["record_kind", "record_uid"])
-    return _pieces(parts, limit, overlap).unionByName(small.select("record_kind", "record_uid", F.lit(0).alias("piece_no"), "words", "text"))
+    """record_kind, record_uid, piece_no, words, text: the pieces of every item(record_kind, record_uid, text); small items stay whole.
+
+    A text that is one range is cut where it lies; longer ones in ranges that are spread over the tasks.
+    """
+    items = items.select("record_kind", "record_uid", "text").filter(F.col("text").isNotNull() & F.col("record_uid").isNotNull()).dropDuplicates(["record_kind", "record_uid"])
+    names = ["record_kind", "record_uid", "piece_no", "words", "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(kind, uid, i, n, part) for kind, uid, text in zip(*(c.to_pylist() for c in b.columns)) for i, (n, part) in enumerate(cut_text(text, limit, overlap))]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    short = over_batches(items.filter(F.length("text") <= size), cut, "record_kind string, record_uid long, piece_no int, words long, text string")
+    parts = settle(ranges(items.filter(F.length("text") > size), size), "ranges")
+    return short.unionByName(_pieces(parts, limit, overlap).filter("words > 0").select(*names))
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
-    """Pieces of UTF-8 text files on a file system all workers see (record_uid: the file's place in paths), each read in byte ranges."""
+    """Pieces of UTF-8 text files on any file system that Hadoop and Arrow know (record_uid: the file's place in paths), each read in byte ranges."""
     prepare(spark)
-    rows = [(i, p, os.path.getsize(p)) for i, p in enumerate(paths)]
+    rows = []
+    for i, p in enumerate(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        rows.append((i, status.getPath().toString(), status.getLen()))
     files = spark.createDataFrame(rows, "record_uid long, path string, bytes long")
     chunks = files.select("record_uid", "path", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("bytes") - 1) / size)).cast("int"))).alias("range_no"))
     chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_uid", "range_no")
 
     def read(batches):
         for b in batches:
-            got = [read_range(p, k * size, size) for p, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            cols = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(["file"] * len(got)), b.column(0), b.column(2), *cols], ["record_kind", "record_uid", "range_no", "before", "body", "after"])
+            for a in range(0, b.num_rows, 64):
+                part = b.slice(a, 64)
+                got = [read_range(p, k * size, size) for p, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                cols = [pa.array([g[i] for g in got], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(["file"] * len(got)), part.column(0), part.column(2), *cols], ["record_kind", "record_uid", "range_no", "before", "body", "after"])
 
-    parts = over_batches(chunks, read, "record_kind string, record_uid long, range_no int, before string, body string, after string")
+    parts = settle(over_batches(chunks, read, RANGES), "file_ranges")
     return _pieces(parts, limit, overlap).filter(F.col("words") > 0)
 
 
+def _open(uri: str):
+    """A file by its address: Hadoop writes file:/a where Arrow wants file:///a."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    system, path = pyarrow.fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
 def read_range(path: str, start: int, size: int) -> tuple[str, str, str]:
     """Halo, body and halo of a byte range; a character belongs to the range its first byte lies in."""
     lead = min(start, 4 * HALO)
-    with open(path, "rb") as f:
+    with _open(path) as f:
         f.seek(start - lead)
         raw = f.read(lead + size + 4 * HALO)
 

@@ -1,6 +1,7 @@
 """Splitting: an exact round trip over every range size, and the operator on a small session."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -60,6 +61,24 @@ def test_operator(spark):
     assert S.split_texts(rows.limit(0)).count() == 0
 
 
+def test_ranges_and_whole_texts_give_the_same_pieces(spark):
+    rng = random.Random(9)
+    rows = items(spark, [(u, long_text(n, rng)) for u, n in enumerate((700, 1300, 4000, 9000))])
+    cut = lambda size: sorted((r["record_uid"], r["piece_no"], r["words"], r["text"]) for r in S.split_texts(rows, size=size).collect())
+    assert cut(1 << 16) == cut(512) and max(r[1] for r in cut(512)) > 10
+
+
+def test_giant_text_in_linear_time():
+    """Ranges are cut one at a time; ten times the text takes about ten times as long."""
+    spent = []
+    for n in (2_000_000, 20_000_000):
+        text = "word pump, end. " * (n // 16)
+        began = time.process_time()
+        assert sum(S._own_words(x, y) for x, y, _ in S.slices(text)) == n // 16 * 3
+        spent.append(time.process_time() - began)
+    assert spent[1] < 25 * max(spent[0], 0.02)
+
+
 def test_boundaries_are_preferred():
     text = "a b c d e f g. h i j\n\nk l m n o p q r s t u"
     assert S.place_cuts(*map(lambda x: x, _table(text)), limit=12, overlap=2)[0] == (0, 10)
