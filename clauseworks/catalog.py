@@ -44,6 +44,11 @@ _TITLE1 = rf"(CASE WHEN starts_with({_TITLE0}, clause_number) THEN trim(substr({
 _TITLE = f"(CASE WHEN {_TITLE1} = '' THEN clause_number WHEN length({_TITLE1}) > 80 THEN substr({_TITLE1}, 1, 77) || '...' ELSE {_TITLE1} END)"
 
 
+# Clause texts without notes and examples, and counts in them.
+_NOTE_FREE = rf"regexp_replace(regexp_replace(chr(10) || coalesce(text, ''), '{T.NOTE}', '', 'g'), '^\n', '')"
+_COUNT = f"len(regexp_extract_all({_NOTE_FREE}, '(?i)\\b({{}})\\b'))"
+
+
 def _clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """clause_uid and some columns (else all) of each clause once: repeated deliveries are equal rows. Partitioned by the key the operators group by, and not coalesced, as text work follows."""
     rows = table(spark, d, "iso_clauses")
@@ -100,16 +105,6 @@ def clause_menu(spark, d):
     return registry.clause_menu(table(spark, d, "iso_clauses")).select("norm_key", "position", "clause_number", "title")
 
 
-@query(
-    f"""SELECT clause_uid, norm_id, clause_number FROM {_CLAUSES} WHERE norm_id IN (SELECT norm_id FROM iso_norms ORDER BY norm_key LIMIT 3)
-    AND language = 'FR' AND top_level_family IN ('4', '8') AND has_requirements = 1"""
-)
-def filtered_clauses(spark, d):
-    norms = [r[0] for r in table(spark, d, "iso_norms").orderBy("norm_key").select("norm_id").limit(3).collect()]  # the parameter of the filter
-    rows = _clauses(spark, d).filter(retrieval.norm_filter(norms, "FR", ["4", "8"]))
-    return registry.of_families(rows, ["4", "8"]).select("clause_uid", "norm_id", "clause_number")
-
-
 @query("SELECT norm_key, count(*) AS clauses, sum(has_requirements)::BIGINT AS requirements FROM (SELECT DISTINCT * FROM iso_clauses) GROUP BY 1")
 def clause_counts(spark, d):
     return registry.clause_counts(_clauses(spark, d, "norm_key", "has_requirements"))
@@ -122,45 +117,18 @@ def latest_entries(spark, d):
     return registry.last_delivery(rows, ["entry_id"], "generated_at")
 
 
-@query(
-    """SELECT norm_key, count(*) AS n FROM (SELECT DISTINCT clause_uid, norm_key FROM iso_clauses WHERE clause_uid % 2 = 0
-    AND norm_key NOT IN (SELECT norm_key FROM iso_clauses WHERE clause_uid % 3 = 0) UNION ALL SELECT DISTINCT clause_uid, norm_key FROM iso_clauses WHERE clause_uid % 3 = 0) GROUP BY 1"""
-)
-def replaced_norms(spark, d):
-    rows = table(spark, d, "iso_clauses").select("clause_uid", "norm_key").distinct()
-    after = registry.write_norms(rows.filter("clause_uid % 2 = 0"), rows.filter("clause_uid % 3 = 0"), "upsert")
-    return after.groupBy("norm_key").agg(F.count("*").alias("n"))
-
-
 @query("SELECT DISTINCT clause_uid FROM iso_clauses WHERE norm_key NOT IN (SELECT norm_key FROM iso_norms WHERE norm_version = '')")
 def deleted_norms(spark, d):
     gone = table(spark, d, "iso_norms").filter("norm_version = ''")
     return registry.delete_norms(table(spark, d, "iso_clauses"), gone).select("clause_uid").distinct()
 
 
-@query("SELECT id, min(src) AS src FROM (SELECT doc_id AS id, 1 AS src FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 2 = 0) GROUP BY 1")
-def merged_tables(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    one, two = docs.filter("id % 3 = 0").withColumn("src", F.lit(1)), docs.filter("id % 2 = 0").withColumn("src", F.lit(2))
-    return registry.merge_tables(two, one, ["id"], source_wins=True)
-
-
-@query(
-    r"""WITH v AS (SELECT clause_uid, norm_id || '_' || clause_number || '_part1_p1' AS row_key, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(shall|must|is required to|are required to|doit|doivent)\b')) AS shall,
-    len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n, has_requirements = 1 AS req, trim(coalesce(text, '')) = '' AS blank FROM (SELECT DISTINCT * FROM iso_clauses))
-    SELECT row_key, 'requirement_without_shall' AS rule, count(*) AS n FROM v WHERE req AND shall <= 0 GROUP BY 1"""
-)
-def chunk_violations(spark, d):
-    return registry.violations(_chunks(spark, d)).filter("rule = 'requirement_without_shall'").groupBy("row_key", "rule").agg(F.count("*").alias("n"))
-
-
-# The four queries above and in scans keep samples (every second or third key, one rule, three norms); these run over whole tables.
 @query(
     f"""SELECT clause_uid, norm_id, clause_number FROM {_CLAUSES} WHERE norm_id IN (SELECT norm_id FROM iso_norms WHERE norm_version <> '')
     AND language = 'FR' AND top_level_family IN ('4', '8') AND has_requirements = 1"""
 )
-def versioned_clauses(spark, d):
-    """filtered_clauses for the norms of a stated version, as many as there are."""
+def filtered_clauses(spark, d):
+    """Binding French clauses of two families, of the norms of a stated version."""
     norms = table(spark, d, "iso_norms").filter("norm_version <> ''").select("norm_id").distinct()
     rows = registry.of_families(_clauses(spark, d), ["4", "8"]).filter("language = 'FR'")
     return rows.join(norms, "norm_id", "left_semi").select("clause_uid", "norm_id", "clause_number")
@@ -171,8 +139,8 @@ def versioned_clauses(spark, d):
     WHERE norm_key NOT IN (SELECT norm_key FROM iso_norms WHERE language = 'FR') UNION ALL SELECT DISTINCT clause_uid, norm_key, 1 - has_requirements FROM iso_clauses
     WHERE norm_key IN (SELECT norm_key FROM iso_norms WHERE language = 'FR')) GROUP BY 1"""
 )
-def replaced_deliveries(spark, d):
-    """replaced_norms over all clauses: a second delivery brings the French norms anew, with a changed column."""
+def replaced_norms(spark, d):
+    """A second delivery brings the French norms anew, with a changed column."""
     rows = table(spark, d, "iso_clauses").select("clause_uid", "norm_key", "has_requirements").distinct()
     french = table(spark, d, "iso_norms").filter("language = 'FR'").select("norm_key").distinct()
     second = rows.join(french, "norm_key", "left_semi").select("clause_uid", "norm_key", (1 - F.col("has_requirements")).alias("has_requirements"))
@@ -181,27 +149,25 @@ def replaced_deliveries(spark, d):
 
 
 @query("SELECT doc_id AS id, CASE WHEN lang IS NULL THEN 1 ELSE 2 END AS src FROM documents")
-def merged_deliveries(spark, d):
-    """merged_tables over all documents: a later delivery holds those whose language is known, and wins."""
+def merged_tables(spark, d):
+    """A later delivery holds the documents whose language is known, and wins."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
     one, two = docs.select("id", F.lit(1).alias("src")), docs.filter("lang is not null").select("id", F.lit(2).alias("src"))
     return registry.merge_tables(one, two, ["id"], source_wins=True)
 
 
 @query(
-    r"""WITH v AS (SELECT norm_id || '_' || clause_number || '_part1_p1' AS row_key, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(shall|must|is required to|are required to|doit|doivent)\b')) AS shall,
-    len(regexp_extract_all(coalesce(text, ''), '(?i)\b(%s)\b')) AS should, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n, has_requirements = 1 AS req FROM (SELECT DISTINCT * FROM iso_clauses))
+    rf"""WITH v AS (SELECT norm_id || '_' || clause_number || '_part1_p1' AS row_key, {_COUNT.format(T.SHALL)} AS shall,
+    {_COUNT.format(T.SHOULD)} AS should, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n, has_requirements = 1 AS req FROM (SELECT DISTINCT * FROM iso_clauses))
     SELECT row_key, rule, count(*) AS n FROM (SELECT row_key, 'requirement_without_shall' AS rule FROM v WHERE req AND shall <= 0 UNION ALL SELECT row_key, 'too_short' FROM v WHERE n < 3 AND (shall > 0 OR should > 0)
-    UNION ALL SELECT row_key, 'chunk_id' FROM v WHERE NOT regexp_full_match(row_key, '[^_]+_[^_]+_part\d+_p\d+')) GROUP BY 1, 2""" % T.SHOULD
+    UNION ALL SELECT row_key, 'chunk_id' FROM v WHERE NOT regexp_full_match(row_key, '[^_]+_[^_]+_part\d+_p\d+')) GROUP BY 1, 2"""
 )
-def all_violations(spark, d):
-    """chunk_violations with every rule."""
+def chunk_violations(spark, d):
+    """Every rule that a chunk breaks."""
     return registry.violations(_chunks(spark, d)).groupBy("row_key", "rule").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- scalar functions
-_NOTE_FREE = rf"regexp_replace(regexp_replace(chr(10) || coalesce(text, ''), '{T.NOTE}', '', 'g'), '^\n', '')"
-_COUNT = f"len(regexp_extract_all({_NOTE_FREE}, '(?i)\\b({{}})\\b'))"
 
 
 @query(
@@ -304,21 +270,12 @@ def bm25_vectors(spark, d):
     return _bm25(spark, d).select("clause_uid", "idx", F.round("weight", 7).alias("weight"))
 
 
-@query(
-    r"""SELECT DISTINCT doc_id, canonical FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents),
-    (SELECT DISTINCT lower(k) AS canonical FROM (SELECT unnest(keywords) AS k FROM keyword_registry) WHERE k LIKE '% %' AND k NOT LIKE '% % % % %') WHERE contains(t, ' ' || canonical || ' ')"""
-)
-def vocabulary_hits(spark, d):
-    words = table(spark, d, "keyword_registry").select(F.explode("keywords").alias("form")).filter("form like '% %' and form not like '% % % % %'").select(F.lower("form").alias("canonical"), "form")
-    return corpus.vocabulary_hits(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", words)
-
-
 @query(
     r"""SELECT DISTINCT doc_id, canonical FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents),
     (SELECT DISTINCT lower(k) AS canonical, array_to_string(regexp_extract_all(lower(k), '[\p{L}\p{N}_]+'), ' ') AS form FROM (SELECT unnest(keywords) AS k FROM keyword_registry)) WHERE form <> '' AND contains(t, ' ' || form || ' ')"""
 )
-def keyword_hits(spark, d):
-    """vocabulary_hits over all keywords, of any number of words."""
+def vocabulary_hits(spark, d):
+    """All keywords, of any number of words."""
     words = table(spark, d, "keyword_registry").select(F.explode("keywords").alias("form")).distinct().select(F.lower("form").alias("canonical"), "form")
     return corpus.vocabulary_hits(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", words)
 
@@ -486,12 +443,6 @@ def tenant_sections(spark, d):
     return rows.select("company_id", "doc_id", "section_id", F.row_number().over(order).alias("position"))
 
 
-@query("SELECT DISTINCT id FROM internaldocs WHERE id NOT IN (SELECT doc_id FROM parsed_sections WHERE doc_id IS NOT NULL)")
-def pending_documents(spark, d):
-    done = table(spark, d, "parsed_sections").select(F.col("doc_id").alias("id"))
-    return table(spark, d, "internaldocs").select("id").join(done, "id", "left_anti").distinct()
-
-
 @query(f"SELECT norm_key, clause_number, len(tokens) AS token_count FROM {_TOKENS} JOIN {_CLAUSES} USING (clause_uid)")
 def token_registry(spark, d):
     tokens = T.index_tokens(F.coalesce("text", F.lit("")), "clause_number")

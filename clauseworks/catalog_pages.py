@@ -12,7 +12,7 @@ from .runtime import table, widen
 
 # ---------------------------------------------------------------- text clean-up
 _CANON = lambda c: rf"(SELECT CASE WHEN regexp_full_match(replace(s, ' ', ''), '[-:]+') OR length(k) < 6 THEN '' ELSE k END FROM (SELECT s, trim(regexp_replace(regexp_replace(s, '\d+', '<num>', 'g'), '\s+', ' ', 'g'), ' -:') AS k FROM (SELECT trim(regexp_replace(replace(lower(trim({c})), '|', ' '), '\s+', ' ', 'g')) AS s)))"
-_TEXT_LINES = r"(SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL))"
+_MD_LINES = rf"(SELECT parsed_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT parsed_id, string_split(regexp_replace(markdown, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM {_PAGES} WHERE markdown IS NOT NULL))"
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', '', 'g'), '(?m)^\s*\d+\s*$', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13) || chr(12)) AS text FROM documents WHERE text IS NOT NULL")
@@ -26,27 +26,27 @@ _MARKED = "contains(sample, '|') OR " + " OR ".join(f"contains(lower(sample), '{
 
 
 @query(
-    rf"""WITH l AS (SELECT *, {_CANON('line')} AS canonical FROM {_TEXT_LINES}), n AS (SELECT doc_id FROM l GROUP BY 1 HAVING count(*) >= 20),
-    f AS (SELECT doc_id, canonical FROM (SELECT doc_id, canonical, count(*) AS n, arg_min(line, pos) AS sample FROM l WHERE canonical <> '' GROUP BY 1, 2) WHERE n >= 2 AND ({_MARKED}) AND doc_id IN (SELECT doc_id FROM n)),
-    g AS (SELECT l.*, f.canonical IS NOT NULL AS gone FROM l LEFT JOIN f USING (doc_id, canonical)), b AS (SELECT *, coalesce(lag(gone) OVER w, FALSE) OR coalesce(lead(gone) OVER w, FALSE) AS beside FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    r AS (SELECT doc_id, line, CASE WHEN gone THEN 'repeated' WHEN regexp_full_match(regexp_replace(line, '[|\\s]', '', 'g'), '[-:]+') AND beside THEN 'separator' END AS fate FROM b) SELECT doc_id, fate, trim(line) AS line, count(*) AS n FROM r WHERE fate IS NOT NULL GROUP BY 1, 2, 3"""
+    rf"""WITH l AS (SELECT *, {_CANON('line')} AS canonical FROM {_MD_LINES}), n AS (SELECT parsed_id FROM l GROUP BY 1 HAVING count(*) >= 6),
+    f AS (SELECT parsed_id, canonical FROM (SELECT parsed_id, canonical, count(*) AS n, arg_min(line, pos) AS sample FROM l WHERE canonical <> '' GROUP BY 1, 2) WHERE n >= 2 AND ({_MARKED}) AND parsed_id IN (SELECT parsed_id FROM n)),
+    g AS (SELECT l.*, f.canonical IS NOT NULL AS gone FROM l LEFT JOIN f USING (parsed_id, canonical)), b AS (SELECT *, coalesce(lag(gone) OVER w, FALSE) OR coalesce(lead(gone) OVER w, FALSE) AS beside FROM g WINDOW w AS (PARTITION BY parsed_id ORDER BY pos)),
+    r AS (SELECT parsed_id, line, CASE WHEN gone THEN 'repeated' WHEN regexp_full_match(regexp_replace(line, '[|\\s]', '', 'g'), '[-:]+') AND beside THEN 'separator' END AS fate FROM b) SELECT parsed_id, fate, trim(line) AS line, count(*) AS n FROM r WHERE fate IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def removed_lines(spark, d):
-    """Header and footer lines that a document repeats, and the rules beside them."""
-    lines = pages.text_lines(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    gone = pages.repeated_signatures(lines, "doc_id").filter("fate is not null")
-    return gone.groupBy("doc_id", "fate", F.trim("line").alias("line")).agg(F.count("*").alias("n"))
+    """Header and footer lines that a document of six lines or more repeats, and the rules beside them."""
+    lines = pages.text_lines(_documents(spark, d).select("parsed_id", "markdown"), "parsed_id", "markdown")
+    gone = pages.repeated_signatures(lines, "parsed_id", least=6).filter("fate is not null")
+    return gone.groupBy("parsed_id", "fate", F.trim("line").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(
-    rf"""WITH l AS (SELECT doc_id AS doc, section_uid AS page, unnest(ls) AS line, unnest(range(len(ls))) AS no, len(ls) AS n FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(coalesce(raw_text, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM {_SECTIONS})),
-    c AS (SELECT *, {_CANON('line')} AS canonical FROM l), t AS (SELECT doc_id AS doc, count(DISTINCT section_uid) AS total FROM {_SECTIONS} GROUP BY 1),
+    rf"""WITH l AS (SELECT company_id AS doc, section_uid AS page, unnest(ls) AS line, unnest(range(len(ls))) AS no, len(ls) AS n FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(coalesce(raw_text, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM {_SECTIONS})),
+    c AS (SELECT *, {_CANON('line')} AS canonical FROM l), t AS (SELECT company_id AS doc, count(DISTINCT section_uid) AS total FROM {_SECTIONS} GROUP BY 1),
     e AS (SELECT doc, canonical, max(seen) AS seen FROM (SELECT doc, canonical, count(*) AS seen FROM c WHERE no < 5 AND canonical <> '' GROUP BY 1, 2 UNION ALL SELECT doc, canonical, count(*) FROM c WHERE no >= n - 5 AND canonical <> '' GROUP BY 1, 2) GROUP BY 1, 2)
-    SELECT doc, canonical AS line, seen AS pages FROM e JOIN t USING (doc) WHERE seen >= greatest(2, ceil(total * 0.6))"""
+    SELECT doc, canonical AS line, seen AS pages FROM e JOIN t USING (doc) WHERE seen >= greatest(2, ceil(total * 0.01))"""
 )
 def repeated_edges(spark, d):
-    """Lines at the edges of most sections of a document."""
-    return layout.repeated_edges(_sections(spark, d, "doc_id", "raw_text"), "doc_id", "section_uid", "raw_text")
+    """Lines at the edges of a hundredth of a company's sections (and two)."""
+    return layout.repeated_edges(_sections(spark, d, "company_id", "raw_text"), "company_id", "section_uid", "raw_text", share=0.01)
 
 
 @query(
@@ -112,9 +112,12 @@ def document_titles(spark, d):
 
 
 # ---------------------------------------------------------------- layout
-@query("SELECT l_orderkey AS doc, l_linenumber AS pos, round(l_extendedprice - lag(l_extendedprice + l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 4) AS gap FROM lineitem")
+@query(
+    """SELECT doc, pos, round(y0 - lag(y1) OVER (PARTITION BY doc ORDER BY pos), 4) AS gap FROM (SELECT l_orderkey AS doc, l_extendedprice AS y0, l_extendedprice + l_quantity AS y1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem)"""
+)
 def vertical_gaps(spark, d):
-    blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("y0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("y1"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
+    blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.row_number().over(order).cast("long").alias("pos"), F.col("l_extendedprice").alias("y0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("y1"))
     return pages.vertical_gaps(blocks).select("doc", "pos", F.round("gap", 4).alias("gap"))
 
 
