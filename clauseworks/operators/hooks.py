@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items in a call, tries of a call, first and longest wait between tries in seconds.
-BATCH, TRIES, WAIT, LONGEST = 50, 5, 0.5, 30.0
+#: Items in a call, tries of a call, first and longest wait between tries in seconds, calls at once.
+BATCH, TRIES, WAIT, LONGEST, PARALLEL = 50, 5, 0.5, 30.0, 10
 WARN, CRITICAL = 0.10, 0.30
 
 
@@ -20,6 +22,43 @@ class PermanentError(RuntimeError):
     """A failure that another try can't mend."""
 
 
+def permanent(e: Exception) -> bool:
+    """Whether another try is useless: a client error other than too many requests."""
+    status = getattr(e, "status", None) or getattr(getattr(e, "response", None), "status_code", None)
+    return isinstance(e, PermanentError) or (isinstance(status, int) and 400 <= status < 500 and status != 429)
+
+
+def retried(call: Callable, tries: int = TRIES, wait: float = WAIT) -> Callable:
+    """call with growing, slightly random waits between its tries."""
+
+    def run(x):
+        for k in range(tries):
+            try:
+                return call(x)
+            except Exception as e:
+                if permanent(e) or k + 1 == tries:
+                    raise
+                time.sleep(min(wait * 2**k, LONGEST) * (1 + random.random() / 2))
+
+    return run
+
+
+def with_fallback(call: Callable, local: Callable, probe: str = "probe") -> Callable:
+    """call where a probe of it succeeds, else the local model; found out once in each worker."""
+    chosen: list[Callable] = []
+
+    def run(texts):
+        if not chosen:
+            try:
+                call([probe])
+                chosen.append(call)
+            except Exception:
+                chosen.append(local)
+        return chosen[0](texts)
+
+    return run
+
+
 def hashed_vector(text: str, size: int = 64) -> list[float]:
     """Default embedding: signed feature hashing of the words, of unit length."""
     v = np.zeros(size)
@@ -30,42 +69,53 @@ def hashed_vector(text: str, size: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embed(rows: DataFrame, text: str, fn: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, batch: int = BATCH, tries: int = TRIES, wait: float = WAIT) -> DataFrame:
-    """rows with embedding and error: fn(texts) in batches with backoff; a failing batch is tried item by item, and only failing items carry an error."""
+def embed(rows: DataFrame, text: str, fn: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, batch: int = BATCH, tries: int = TRIES, wait: float = WAIT, parallel: int = PARALLEL) -> DataFrame:
+    """rows with embedding and error: fn(texts) in batches with backoff, some of them at once; a failing batch is tried item by item, and only failing items carry an error."""
     call = fn or (lambda texts: [hashed_vector(t) for t in texts])
 
-    def attempt(texts: Sequence[str]):
-        for k in range(tries):
-            try:
-                return [list(map(float, v)) for v in call(texts)]
-            except PermanentError:
-                raise
-            except Exception:
-                if k + 1 == tries:
-                    raise
-                time.sleep(min(wait * 2**k, LONGEST))
+    attempt = retried(lambda texts: [list(map(float, v)) for v in call(texts)], tries, wait)
+
+    def one(part: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in attempt(part)]
+        except Exception:
+            out = []
+            for t in part:
+                try:
+                    out.append((attempt([t])[0], None))
+                except Exception as e:
+                    out.append((None, str(e)[:200]))
+            return out
+
+    def run(frames):
+        with ThreadPoolExecutor(parallel) as pool:
+            for f in frames:
+                texts = [t if t is not None else "" for t in f[text]]
+                got = [x for part in pool.map(one, [texts[a : a + batch] for a in range(0, len(texts), batch)]) for x in part]
+                yield f.assign(embedding=pd.Series([v for v, _ in got], index=f.index, dtype=object), error=pd.Series([e for _, e in got], index=f.index, dtype=object))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{fields}, embedding array<double>, error string")
+
+
+def complete(rows: DataFrame, prompt: str, fn: Callable[[str], str], tries: int = 3, wait: float = WAIT) -> DataFrame:
+    """rows with answer and error of a chat model on the prompt; a failing call leaves the answer null."""
+    ask = retried(fn, tries, wait)
 
     def run(frames):
         for f in frames:
-            vectors, errors = [], []
-            texts = [t if t is not None else "" for t in f[text]]
-            for a in range(0, len(texts), batch):
-                part = texts[a : a + batch]
+            answers, errors = [], []
+            for p in f[prompt]:
                 try:
-                    vectors += attempt(part)
-                    errors += [None] * len(part)
-                except Exception:
-                    for t in part:
-                        try:
-                            vectors += attempt([t])
-                            errors.append(None)
-                        except Exception as e:
-                            vectors.append(None)
-                            errors.append(str(e)[:200])
-            yield f.assign(embedding=pd.Series(vectors, index=f.index, dtype=object), error=pd.Series(errors, index=f.index, dtype=object))
+                    answers.append(ask(p))
+                    errors.append(None)
+                except Exception as e:
+                    answers.append(None)
+                    errors.append(str(e)[:200])
+            yield f.assign(answer=pd.Series(answers, index=f.index, dtype=object), error=pd.Series(errors, index=f.index, dtype=object))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{fields}, embedding array<double>, error string")
+    return rows.mapInPandas(run, f"{fields}, answer string, error string")
 
 
 def check_failures(embedded: DataFrame, critical: float = CRITICAL) -> float:

@@ -11,27 +11,48 @@ from ..operators.registry import last_delivery
 from ..runtime import scratch
 
 
-def upsert_stream(source: DataFrame, keys: Sequence[str], version: str, folder: str, checkpoint: str) -> None:
+#: Buckets of the state; a batch rewrites only those it touches.
+BUCKETS = 64
+
+
+def upsert_stream(source: DataFrame, keys: Sequence[str], version: str, folder: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Drain a stream into the table under folder, newest version of each key; a replayed batch gives the same state.
 
-    State is kept as numbered snapshots; a batch reads the snapshot before it and writes its own, so nothing is overwritten in use.
+    The state lies in buckets of the keys' hash. Batch n writes the buckets it touches to folder/n and a manifest that says which
+    batch holds each bucket; it reads manifest n - 1, so nothing is overwritten in use and a replay starts from the same state.
     """
     spark = source.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number > 0:
-            batch = spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}").unionByName(batch)
-        last_delivery(batch, keys, version).write.mode("overwrite").parquet(f"{folder}/{number}")
+        schema = batch.schema
+        held = _manifest(spark, folder, number - 1) if number else {}
+        rows = batch.withColumn("_bucket", bucket)
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most buckets rows
+        old = [f"{folder}/{held[k]}/_bucket={k}" for k in touched if k in held]
+        if old:
+            rows = spark.read.schema(schema).parquet(*old).withColumn("_bucket", bucket).unionByName(rows)
+        if touched:
+            last_delivery(rows, [*keys, "_bucket"], version).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/{number}")
+        now = sorted((held | dict.fromkeys(touched, number)).items())
+        spark.createDataFrame(now, "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest-{number}")
 
     source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _manifest(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    return {r["bucket"]: r["number"] for r in spark.read.parquet(f"{folder}/manifest-{number}").collect()}  # a row a bucket
+
+
 def latest_state(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """The newest snapshot."""
+    """The rows of all buckets as of the newest manifest."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    newest = max(int(s.getPath().getName()) for s in fs.listStatus(path))
-    return spark.read.schema(schema).parquet(f"{folder}/{newest}")
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    held = _manifest(spark, folder, max(int(n.split("-")[1]) for n in names if n.startswith("manifest-")))
+    if not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/{n}/_bucket={k}" for k, n in sorted(held.items())])
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
