@@ -201,15 +201,15 @@ def glyph_cost(seen: str, meant: str, most: int = 6) -> int:
 
 # ---------------------------------------------------------------- skip-gram vectors
 def sgns(center: np.ndarray, context: np.ndarray, count: np.ndarray, unigram: np.ndarray, start: tuple[np.ndarray, np.ndarray], samples: int, seed: int, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """One round of skip-gram with negative sampling over counted pairs: samples pairs by their counts, Adagrad in batches."""
+    """One round of skip-gram with negative sampling over counted pairs: every pair once, and samples more by their counts, in random order; Adagrad in batches."""
     rng = np.random.default_rng(seed)
     v, u = (x.astype(np.float32).copy() for x in start)
     gv, gu = np.full(len(v), 1e-2, np.float32), np.full(len(u), 1e-2, np.float32)
     chance, noise = np.cumsum(count / count.sum()), np.cumsum(unigram**0.75 / (unigram**0.75).sum())
-    size = 1 << 14
-    for _ in range(max(1, samples // size)):
-        at = np.minimum(np.searchsorted(chance, rng.random(size)), len(count) - 1)
-        c, o = center[at], context[at]
+    turns = rng.permutation(np.concatenate([np.arange(len(count)), np.minimum(np.searchsorted(chance, rng.random(samples)), len(count) - 1)]))
+    for first in range(0, len(turns), 1 << 14):
+        at = turns[first : first + (1 << 14)]
+        size, c, o = len(at), center[at], context[at]
         n = np.minimum(np.searchsorted(noise, rng.random((size, NEGATIVE))), len(unigram) - 1)
         vc = v[c]
         pos = 1 - 1 / (1 + np.exp(-np.einsum("ij,ij->i", vc, u[o])))
@@ -219,8 +219,8 @@ def sgns(center: np.ndarray, context: np.ndarray, count: np.ndarray, unigram: np
         du = np.concatenate([pos[:, None] * vc, (neg[:, :, None] * vc[:, None, :]).reshape(-1, v.shape[1])])
         for m, g, idx, d in ((v, gv, c, dv), (u, gu, np.concatenate([o, n.ravel()]), du)):
             order = np.argsort(idx, kind="stable")
-            ids, first, times = np.unique(idx[order], return_index=True, return_counts=True)
-            step = np.add.reduceat(d[order], first, axis=0) / np.sqrt(times)[:, None]
+            ids, begins, times = np.unique(idx[order], return_index=True, return_counts=True)
+            step = np.add.reduceat(d[order], begins, axis=0) / np.sqrt(times)[:, None]
             g[ids] += (step * step).mean(1)
             m[ids] += rate * step / np.sqrt(g[ids])[:, None]
     return v, u
@@ -281,11 +281,11 @@ def _verify(batches):
 
 
 def glyph_links(words: DataFrame, frequent: DataFrame) -> DataFrame:
-    """word, meant (array of meant, cost, ratio): the far more frequent words that plausible glyph edits turn into the word."""
+    """word, meant (array of meant, cost, ratio): the far more frequent words that plausible glyph edits turn into the word. The frequent words, at most 1 / SHARE, are broadcast, so that no skeleton is a hot key."""
     odd = F.col("word").rlike("[^\\p{L}]")
     rare = words.filter((F.length("word") >= 3) | ((F.length("word") >= 2) & odd)).filter(~F.col("word").rlike("^(\\p{L}\\d+|\\p{L}{2}\\d)$"))
     known = frequent.filter((F.length("word") >= 2) & ~F.col("word").rlike("[^\\p{L}]")).select(F.col("word").alias("meant"), F.col("n").alias("many"), "skeleton")
-    pairs = rare.join(known, "skeleton").filter((F.col("word") != F.col("meant")) & (F.col("many") >= RATIO * F.col("n"))).select("word", "meant", (F.col("many") / F.col("n")).alias("ratio"))
+    pairs = rare.join(F.broadcast(known), "skeleton").filter((F.col("word") != F.col("meant")) & (F.col("many") >= RATIO * F.col("n"))).select("word", "meant", (F.col("many") / F.col("n")).alias("ratio"))
     checked = over_batches(pairs, _verify, "word string, meant string, ratio double, cost int").filter("cost <= 6")
     return settle(checked.groupBy("word").agg(F.sort_array(F.collect_set(F.struct("meant", "cost", "ratio"))).alias("meant")), "links")
 
@@ -344,7 +344,8 @@ def _pair_batches(keys, size, names, kinds):
 
 #: Distinct pairs that one task trains on; beyond it shards train side by side and their vectors are averaged after each round.
 SHARD = 4_000_000
-SAMPLES = 3
+#: Draws by count for each distinct pair and round, besides the one turn that every pair has.
+SAMPLES = 2
 
 
 def learn_vectors(pairs: DataFrame, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +389,8 @@ def _agree(batches, state, index: dict[str, int]):
         for uid, word, around, meant in zip(*(b.column(i).to_pylist() for i in range(4))):
             ctx = u[around].mean(0) if around else None
             best = max(((float(v[index[m["meant"]]] @ ctx) + np.log(NEGATIVE) if ctx is not None else 0.0, m["meant"], m["cost"], m["ratio"]) for m in meant), key=lambda x: (x[0], x[1]))
-            if best[0] >= AGREES:
+            alone = ctx is None and not (best[2] <= 2 and best[3] >= 4 * RATIO and np.log(best[3]) - best[2] >= SURE)
+            if best[0] >= AGREES and not alone:  # without any context the word's own evidence must do
                 for c, x in zip(out, (uid, word, best[1], best[0], best[2], best[3])):
                     c.append(x)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64())
