@@ -206,7 +206,7 @@ def sgns(center: np.ndarray, context: np.ndarray, count: np.ndarray, unigram: np
     v, u = (x.astype(np.float32).copy() for x in start)
     gv, gu = np.full(len(v), 1e-2, np.float32), np.full(len(u), 1e-2, np.float32)
     chance, noise = np.cumsum(count / count.sum()), np.cumsum(unigram**0.75 / (unigram**0.75).sum())
-    turns = rng.permutation(np.concatenate([np.arange(len(count)), np.minimum(np.searchsorted(chance, rng.random(samples)), len(count) - 1)]))
+    turns = rng.permutation(np.concatenate([np.arange(len(count)), np.minimum(np.searchsorted(chance, rng.random(max(samples, 1 << 14))), len(count) - 1)]))
     for first in range(0, len(turns), 1 << 14):
         at = turns[first : first + (1 << 14)]
         size, c, o = len(at), center[at], context[at]
