@@ -82,3 +82,26 @@ def test_vectors_tell_contexts_apart():
     rng = np.random.default_rng(0)
     v, u = S.sgns(a, b, n, np.ones(6), ((rng.random((6, 8)) - 0.5) / 8, np.zeros((6, 8))), 1 << 17, 1)
     assert v[0] @ u[1] > v[0] @ u[4] + 1
+
+
+def test_repaired_text_equals_the_clean_one(spark, sections):
+    """Held-out accuracy: known clean texts are damaged by single glyphs, cut words and a page line; the share of words that come back, and none else changed."""
+    rng = random.Random(12)
+    clean = {i: " ".join(rng.choices(OPEN, k=6)) for i in range(400)}
+    swaps = [(key, value) for key, values in S.CONFUSIONS.items() for value in values.split() if len(value) + len(key) >= 2 and S.skeleton(key) == S.skeleton(value)]
+    damaged, hurt = dict(clean), 0
+    for i in range(0, 400, 16):
+        words = clean[i].split(" ")
+        for k in rng.sample([k for k, w in enumerate(words) if len(w) >= 6 and w.isalpha()], 2):
+            key, value = rng.choice([(a, b) for a, b in swaps if b in words[k][1:]] or [("", "")])
+            at = words[k].find(value, 1)
+            if key and at > 0:
+                words[k] = words[k][:at] + key + words[k][at + len(value) :]
+                hurt += 1
+        cut = next(k for k, w in enumerate(words) if len(w) >= 8 and w.isalpha())
+        words[cut] = words[cut][:4] + "-\n" + words[cut][4:]
+        damaged[i] = " ".join(words[:10]) + "\n\n- 12 -\n\n" + " ".join(words[10:])
+    got = {r["section_uid"]: r["text"] for r in S.repair(sections(list(damaged.items()))).collect()}
+    wrong = sum(a != b for i in clean for a, b in zip(got[i].split(), clean[i].split()))
+    print("damaged", hurt, "left", wrong)
+    assert hurt >= 30 and wrong <= 0.2 * hurt and all(len(got[i].split()) == len(clean[i].split()) for i in clean)
