@@ -36,6 +36,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (source, doc_id, tokens, copies) of sizes(doc_id, source, tokens), and the budgets it keeps."""
+    spark = sizes.sparkSession
     plan = settle(budgets(sizes, targets, total), "budgets")
     small = F.broadcast(plan.select("source", "available", "budget"))  # a row for each row of the fixed targets
     most = plan.agg(F.max("documents")).first()[0] or 0
@@ -46,9 +47,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tuple
     rows = rows.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")).withColumn("more", F.lit(0))
     while True:  # each sweep takes a document of every source that has one left to fit
         rows = settle(_sweep(rows), "sweep")
-        used = rows.groupBy("source").agg(F.sum(F.when(F.col("more") == 2, F.col("tokens")).otherwise(0)).alias("used"))
-        rows = rows.join(F.broadcast(used), "source").select("source", "doc_id", "tokens", "key", "epochs", (F.col("left") - F.col("used")).alias("left"), "range", F.least("more", F.lit(1)).alias("more"))
-        if rows.filter((F.col("more") == 0) & (F.col("tokens") <= F.col("left"))).isEmpty():
+        used, least = F.sum(F.when(F.col("more") == 2, F.col("tokens")).otherwise(0)), F.min(F.when(F.col("more") == 0, F.col("tokens")))
+        state = rows.groupBy("source").agg((F.max("left") - used).alias("left"), least.alias("least")).collect()  # a row for each row of the fixed targets
+        now = F.broadcast(spark.createDataFrame([(r["source"], r["left"]) for r in state], "source string, left long"))
+        rows = rows.drop("left").join(now, "source").select("source", "doc_id", "tokens", "key", "epochs", "left", "range", F.least("more", F.lit(1)).alias("more"))
+        if not any(r["least"] is not None and r["least"] <= r["left"] for r in state):
             break
     return rows.select("source", "doc_id", "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies")).filter("copies > 0"), plan
 
