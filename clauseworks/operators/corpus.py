@@ -28,7 +28,7 @@ def inverse_document_frequency(counts: DataFrame, n: int) -> DataFrame:
 
 def tfidf_keywords(chunks: DataFrame, key: str, column: str = "text", top: int = 5) -> DataFrame:
     """key, rank, term, score: best terms of each chunk, phrases before words, then by name."""
-    counts = settle(term_counts(chunks, key, column), "term_counts")
+    counts = term_counts(chunks, key, column)  # both uses share one exchange
     scored = counts.join(inverse_document_frequency(counts, chunks.count()), "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 9))
     best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc(F.size(F.split("term", " "))), "term")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select(key, "rank", "term", "score")
