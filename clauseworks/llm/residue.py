@@ -96,7 +96,7 @@ ADDRESSES = re.compile(r"\b(?:please|your|veuillez|merci de|votre|vos|bitte|ihre
 SPEAKS = re.compile(r"\b(?:auditor|auditeur|workstations?|postes|arbeitsplätzen|puestos|postazioni|terminal|operator|opérateur|forms?|fiches|badge|model|edition|édition)\b", re.I)
 # Characters and words of which one stands in every placeholder, filler and message rule. A text without any isn't looked at further.
 _MARKS = ("{", "<", "[", "@@", "$", "%", "#", "«", "_____", "......", "???", "XXXX", "xxxx", "XX/", "XX.", "XX-", "JJ/", "JJ.", "JJ-", "DD/", "DD.", "DD-", "TT/", "TT.", "TT-", "GG/", "GG.", "GG-", "MM/", "MM.", "MM-", "AAAA", "YYYY", "TBD", "TODO", "FIXME")
-_FILLERS = ("ipsum", "dolor", "bla", "xxx", "text", "asdf", "qwert", "test", "blah", "dummy", "foo", "aaa")
+_FILLERS = {"ipsum": 1, "dolor": 1, "bla": 3, "xxx": 3, "text": 4, "asdf": 2, "qwert": 2, "test": 4, "dummy": 4, "foo": 4, "aaa": 4}  # and how often at least
 _TRIGGERS = (
     "javascript", "cookie", "server", "serveur", "servidor", "script", "skript", "richiede script", "browser", "navigateur", "navegador", "access denied", "accès refusé", "zugriff verw", "acceso denegado", "accesso negato", "do not have", "don't have",
     "n'avez pas", "keine berechtigung", "no tiene perm", "no tiene auto", "no tiene derech", "non si dispone", "non dispone", "non hai", "non avete", "your session", "votre session", "sitzung ist", "su sesión", "sessione è", "sessione e", "sign in again", "log in again", "page you", "requested",
@@ -120,7 +120,7 @@ def _automaton(words):
 
 @functools.cache
 def _finders():
-    return _automaton(_MARKS), _automaton(_FILLERS), _automaton(_TRIGGERS)
+    return _automaton(_MARKS), lambda text: any(text.count(w) >= n for w, n in _FILLERS.items()), _automaton(_TRIGGERS)
 
 
 _SPLIT = re.compile(r"[\r\n]+|(?<=[.!?])[ \t]+")
