@@ -4,8 +4,13 @@ Method: LSH forest. Every record gets a min-hash signature of its set of three-w
 prefixes put similar records next to each other. The rows of all trees are range-sorted by prefix and record, so that a region
 (records with one prefix of DEPTH hashes in a tree) may lie in several tasks. The pairs of a region are compared where it lies; a
 region that is large or runs over the edge of a task goes in blocks, whose pairs are spread over the tasks. At similarity j a pair
-meets in 1 - (1 - j^DEPTH)^TREES of the cases, 99.2 % at 0.5. Candidates pass a bit sketch, a stricter one where they met in one
-tree only, a finer sketch of each pair once, and then an exact check of the sequence sets.
+meets in 1 - (1 - j^DEPTH)^TREES of the cases, 99.2 % at 0.5. Candidates pass a bit sketch and a finer one where they meet, a
+stricter bit sketch where they met in one tree only, then a bound that no pair of SIMILAR fails, and an exact check of the
+sequence sets.
+
+Records with common phrases meet by chance, and the number of such pairs grows as the square of the records. So nothing is written
+for a pair before both sketches passed, the orders are sorted PASSES times a part of them, the bounds and sets of many pairs
+meet in portions, and each step's files go when it is done.
 
 Records with equal sets form one class before the forest, so that copies never crowd an order; links hold between class
 representatives, and copies are joined to them through the membership. Null, blank and short records (under LEAST_WORDS) are in no
@@ -17,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -25,23 +31,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import over_batches, settle, widen
+from ..runtime import over_batches, release, settle, shuffles_freed, widen
 
 WORDS_IN_SEQUENCE, SIMILAR, LEAST_WORDS = 3, 0.5, 40
 #: Hashes of a signature; sorted orders and hashes along each; bits of a prefix.
 HASHES, TREES, DEPTH, PREFIX = 150, 36, 3, 36
+#: Parts of the forest that are sorted one after the other.
+PASSES = 6
 #: Sketch bits of HASHES that must agree; at a similarity of j the share (1 + j) / 2 of them does (at 0.5: 112.5, deviation 5.3). LOOSE is for pairs that met in several trees, STRICT for the others: at 0.5, 0.1 % of the former and 1.5 % of the latter (4 % of all) fall below.
 LOOSE, STRICT = 96, 101
 #: Hashes of which four bits each are compared once a pair is a candidate, and how many must agree: at a similarity of j the share j + (1 - j) / 16 does (at 0.5: 53.1, deviation 5.0).
 FINE, ALIKE = 100, 37
 #: Records of the largest region compared where it lies; a larger one goes in blocks, BLOCKS of them or blocks of BLOCK records if that is fewer.
-DIRECT, BLOCK, BLOCKS = 2048, 1024, 16
+DIRECT, BLOCK, BLOCKS = 2048, 8192, 16
 #: Copies of a class from which it is spread over salted keys, and from which its own copies are linked in a star rather than all with each other.
 COPIES = 1000
 #: Copies of a class that one task may join; classes above it meet their members by a broadcast of the classes (at most rows / HOT of them).
 HOT = 100_000
 #: Ids of candidate records that may be broadcast; beyond it their texts are found by a shuffled join.
 BROADCAST_IDS = 4_000_000
+#: Pairs whose bounds, and a quarter of that whose sets, meet at once: as many as a quarter of the records, but this many at least.
+PORTION = 250_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +128,11 @@ def tree_keys(m: np.ndarray) -> np.ndarray:
     return keys
 
 
-SIGNED = "kind int, uid long, c1 long, c2 long, s1 long, s2 long, s3 int, prefixes binary, fine binary"
+SIGNED = "kind int, uid long, c1 long, c2 long, s1 long, s2 long, s3 int, " + "".join(f"prefixes{p} binary, " for p in range(PASSES)) + "fine binary, size int, bits binary"
+#: Prefixes of clauses and sections differ by it, as the kinds never pair.
+_APART = np.uint64(0x5A5A5A5A5)
+#: 64-bit words that hold the finer sketch.
+WORDS = -(-FINE // 16)
 
 
 def fine_sketches(m: np.ndarray) -> np.ndarray:
@@ -127,6 +141,32 @@ def fine_sketches(m: np.ndarray) -> np.ndarray:
     return four[:, ::2] << 4 | four[:, 1::2]
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """Of each set a bitmap of four to eight bits an element, in which an element sets the bit that its lowest bits name."""
+    sizes = np.array(list(map(len, sets)))
+    widths = np.maximum(256, 1 << np.ceil(np.log2(4 * sizes)).astype(np.int64))
+    out: list[bytes] = [b""] * len(sets)
+    portions = ((w, r[k : k + max(1, (1 << 24) // w)]) for w in np.unique(widths) for r in [np.flatnonzero(widths == w)] for k in range(0, len(r), max(1, (1 << 24) // w)))
+    for width, rows in portions:
+        x = (np.concatenate([sets[i] for i in rows]) & np.uint64(width - 1)).astype(np.int64)
+        flags = np.zeros(len(rows) * width, np.uint8)
+        flags[np.repeat(np.arange(len(rows)) * width, sizes[rows]) + x] = 1
+        for i, bits in zip(rows, np.packbits(flags.reshape(len(rows), width), axis=1, bitorder="little")):
+            out[i] = bits.tobytes()
+    return out
+
+
+def most_common(x: bytes, y: bytes, m: int, n: int) -> int:
+    """Elements that two sets of m and n elements have in common at most, by their bitmaps: a bit that only one side has stands for an element that the other lacks."""
+    p, q, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), max(len(x), len(y)) * 4
+    while len(x) != len(y) and width >= min(len(x), len(y)) * 8:  # the wider is folded
+        low = (1 << width) - 1
+        p, q = (p & low | p >> width, q) if len(x) > len(y) else (p, q & low | q >> width)
+        width //= 2
+    both = (p & q).bit_count()
+    return min(m - p.bit_count(), n - q.bit_count()) + both
+
+
 def _sign(batches):
     for b in batches:
         kinds, uids, texts = (b.column(i).to_pylist() for i in range(3))
@@ -135,29 +175,47 @@ def _sign(batches):
         sets = [found[i] for i in rows]
         if not sets:
             continue
-        m = signatures(sets)
+        m, kind = signatures(sets), np.array([KINDS.index(kinds[i]) for i in rows], np.int32)
         with np.errstate(over="ignore"):
             c1 = np.array([s.sum(dtype=np.uint64) for s in sets]).astype(np.int64)
             c2 = np.array([(s * s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets]).astype(np.int64)
         s1, s2, s3 = sketches(m)
-        raw = np.ascontiguousarray(tree_keys(m)).view(np.uint8).reshape(len(m), TREES, 8)[:, :, :5].reshape(len(m), -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([KINDS.index(kinds[i]) for i in rows], pa.int32()), pa.array([uids[i] for i in rows], pa.int64()), *map(pa.array, (c1, c2, s1, s2)), pa.array(s3, pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in fine_sketches(m)], pa.binary())],
-            ["kind", "uid", "c1", "c2", "s1", "s2", "s3", "prefixes", "fine"],
-        )
+        keys = tree_keys(m) ^ (kind[:, None].astype(np.uint64) * _APART)
+        raw = keys.view(np.uint8).reshape(len(m), PASSES, TREES // PASSES, 8)[:, :, :, :5]
+        prefixes = [_binary(raw[:, p].reshape(len(m), -1)) for p in range(PASSES)]
+        fine = _binary(np.pad(fine_sketches(m), ((0, 0), (0, 8 * WORDS - FINE // 2))))
+        columns = [pa.array(kind), pa.array([uids[i] for i in rows], pa.int64()), *map(pa.array, (c1, c2, s1, s2)), pa.array(s3, pa.int32()), *prefixes, fine, pa.array(list(map(len, sets)), pa.int32()), pa.array(bitmaps(sets), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "uid", "c1", "c2", "s1", "s2", "s3", *(f"prefixes{p}" for p in range(PASSES)), "fine", "size", "bits"])
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A binary column of values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
 
+ROWS = "key long, packed long, s1 long, s2 long" + "".join(f", f{i} long" for i in range(WORDS))
 
-def _spread(batches):
-    """A row of each record and tree: the key (tree, prefix, rest of the sketch), the record and its sketch."""
-    trees = np.arange(TREES, dtype=np.uint64) << np.uint64(PREFIX + REST)
+
+def _spread(batches, first=0):
+    """A row of each record and tree from the first: the key (tree, prefix, rest of the sketch), the record, its sketch and its finer sketch."""
     for b in batches:
         if not b.num_rows:
             continue
         packed, s1, s2, s3 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        raw = np.zeros((len(packed), TREES, 8), np.uint8)
-        raw[:, :, :5] = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(packed), TREES, 5)
+        prefixes = _bytes(b.column(4)).reshape(len(packed), -1, 5)
+        n = prefixes.shape[1]
+        raw = np.zeros((len(packed), n, 8), np.uint8)
+        raw[:, :, :5] = prefixes
+        trees = np.arange(first, first + n, dtype=np.uint64) << np.uint64(PREFIX + REST)
         keys = (trees[None, :] | (raw.view(np.uint64)[:, :, 0] << np.uint64(REST)) | s3.astype(np.uint64)[:, None]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, TREES)) for x in (packed, s1, s2))], ["key", "packed", "s1", "s2"])
+        fine = list(_bytes(b.column(5)).view(np.int64).T) if b.num_columns > 5 else []
+        columns = [pa.array(keys.ravel()), *(pa.array(np.repeat(x, n)) for x in (packed, s1, s2, *fine))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "packed", "s1", "s2", *(f"f{i}" for i in range(len(fine)))])
 
 
 def _agreement(a, b) -> np.ndarray:
@@ -183,17 +241,26 @@ PAIRS = "kind int, a long, b long, agree int, region long, block binary"
 OPEN = 1_000_000
 
 
-def _found(kind, a, b, agree) -> pa.RecordBatch:
+def _found(a, b, agree) -> pa.RecordBatch:
     none = pa.nulls(len(a))
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree, pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], _PAIRS)
+    return pa.RecordBatch.from_arrays([pa.array((a & 1).astype(np.int32)), pa.array(np.minimum(a, b) >> 1), pa.array(np.maximum(a, b) >> 1), pa.array(agree, pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], _PAIRS)
+
+
+def _unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Groups of four bits in which words differ."""
+    d = (x ^ y).view(np.uint64)
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).astype(np.int16)
 
 
-def _compare(x, y):
-    """Pairs of the rows x and y (key, packed, s1, s2 each) that the sketch lets pass."""
-    agree = _agreement((x[0], x[2], x[3]), (y[0], y[2], y[3]))
-    ok = (agree >= LOOSE) & ((x[1] ^ y[1]) & 1 == 0) & (x[1] != y[1])
-    a, b = x[1][ok], y[1][ok]
-    return (a & 1).astype(np.int32), a >> 1, b >> 1, agree[ok].astype(np.int32)
+def _alike(x, i, y, j, agree):
+    """Records of the pairs of rows i of x and j of y that both sketches let pass, and the bits that agree."""
+    w = np.flatnonzero(agree >= LOOSE)
+    i, j, agree = i[w], j[w], agree[w]
+    a, b = x[1][i], y[1][j]
+    ok = ((a ^ b) & 1 == 0) & (a != b) & (sum((_unlike(p[i], q[j]) for p, q in zip(x[4:], y[4:])), np.zeros(len(w), np.int16)) <= FINE - ALIKE)
+    return a[ok], b[ok], agree[ok].astype(np.int32)
 
 
 def _sweep(batches):
@@ -205,13 +272,13 @@ def _sweep(batches):
         sizes = np.diff(np.append(starts, len(region)))
         apart = (sizes > DIRECT) | np.isin(region[starts], edges)
         for i, j in _pairs_of(starts[~apart], sizes[~apart]):
-            kind, a, b, agree = _compare([c[i] for c in rows], [c[j] for c in rows])
-            if len(a):
-                yield _found(kind, a, b, agree)
+            pairs = _alike(rows, i, rows, j, _agreement([rows[c][i] for c in (0, 2, 3)], [rows[c][j] for c in (0, 2, 3)]))
+            if len(pairs[0]):
+                yield _found(*pairs)
         blocks = []
         for s, n in zip(starts[apart], sizes[apart]):
             step = max(BLOCK, -(-n // BLOCKS))
-            blocks += [(int(region[s]), np.stack([c[k : min(k + step, s + n)] for c in rows]).tobytes()) for k in range(s, s + n, step)]
+            blocks += [(int(region[s]), np.array([m]).tobytes() + np.stack([c[k : k + m] for c in rows]).tobytes()) for k in range(s, s + n, step) for m in [min(step, s + n - k)]]
         if blocks:
             none = pa.nulls(len(blocks))
             yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array([r for r, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary())], _PAIRS)
@@ -237,16 +304,25 @@ def _sweep(batches):
         yield from work(carry, [*edges, int(carry[0][0] >> REST)])  # and the last may go on
 
 
+def _block(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.int64)
+    return x[1:].reshape(-1, x[0])
+
+
 def _block_pairs(batches):
+    """The pairs of two blocks, or within one where there is no other."""
     for b in batches:
-        for same, one, other in zip(*(c.to_pylist() for c in b.columns)):
-            x, y = (np.frombuffer(v, np.int64).reshape(4, -1) for v in (one, other))
-            n = x.shape[1]
-            for k in range(n):
-                z = y[:, k + 1 :] if same else y
-                kind, p, q, agree = _compare(np.broadcast_to(x[:, k, None], z.shape), z)
-                if len(p):
-                    yield _found(kind, p, q, agree)
+        for one, other in zip(b.column(0), b.column(1)):
+            x = _block(one.as_py())
+            y = _block(other.as_py()) if other.is_valid else x
+            at, out = np.arange(y.shape[1]), []
+            for k in range(x.shape[1]):
+                after = slice(k + 1 if y is x else 0, None)
+                agree = _agreement(x[[0, 2, 3], k], y[[0, 2, 3], after])
+                if (agree >= LOOSE).any():
+                    out.append(_alike(x, np.full(len(agree), k), y, at[after], agree))
+            if out:
+                yield _found(*map(np.concatenate, zip(*out)))
 
 
 KINDS = ("clause", "section")
@@ -265,41 +341,80 @@ def classes(signed: DataFrame) -> DataFrame:
     return others.unionByName(own.join(hot, ["kind", "c1", "c2"])).select("kind", "uid", "rep", "copies")
 
 
+def _code(kind: str = "kind", uid: str = "uid") -> Column:
+    return F.col(uid) * 2 + F.col(kind)
+
+
 def candidates(signed: DataFrame, twins: DataFrame) -> DataFrame:
-    """kind, a, b: pairs of class representatives that the forest finds."""
+    """kind, a, b: pairs of class representatives that the forest finds and that their bitmaps allow."""
     spark = signed.sparkSession
     later = twins.filter("uid <> rep").select("kind", "uid")
-    if later.count() <= BROADCAST_IDS:
-        later = F.broadcast(later)
-    reps = signed.join(later, ["kind", "uid"], "left_anti").select((F.col("uid") * 2 + F.col("kind")).alias("packed"), "s1", "s2", "s3", "prefixes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = over_batches(reps, _spread, "key long, packed long, s1 long, s2 long").repartitionByRange(n, "key", "packed").sortWithinPartitions("key")
-    found = settle(over_batches(rows, _sweep, PAIRS), "forest")
-    pairs = found.filter("a is not null").unionByName(crowded_pairs(found)).select("kind", "a", "b", "agree")
+    few = later.count() <= BROADCAST_IDS
+    reps = signed.join(F.broadcast(later) if few else later, ["kind", "uid"], "left_anti")
+    reps = reps.select(_code().alias("packed"), "s1", "s2", "s3", *(f"prefixes{p}" for p in range(PASSES)), "fine")
+    reps = reps if few else settle(reps, "representatives")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PASSES)
+    tables = []
+    for p in range(PASSES):
+        spread = functools.partial(_spread, first=p * (TREES // PASSES))
+        rows = over_batches(reps.select("packed", "s1", "s2", "s3", f"prefixes{p}", "fine"), spread, ROWS).repartitionByRange(n, "key", "packed").sortWithinPartitions("key")
+        found = settle(over_batches(rows, _sweep, PAIRS), "forest")
+        if not found.filter("region is not null").isEmpty():
+            crowded = crowded_pairs(found)
+            with_crowded = settle(found.filter("a is not null").unionByName(crowded), "pairs")
+            release(found, crowded)
+            found = with_crowded
+        tables.append(found)
+    pairs = functools.reduce(DataFrame.unionByName, [t.select("kind", "a", "b", "agree") for t in tables])
     met = pairs.groupBy("kind", "a", "b").agg(F.count("*").alias("trees"), F.max("agree").alias("agree"))
-    met = met.filter((F.col("trees") > 1) | (F.col("agree") >= STRICT)).select("kind", "a", "b")
-    fine = signed.select("kind", "uid", "fine").dropDuplicates(["kind", "uid"])
-    both = met.join(fine.withColumnsRenamed({"uid": "a", "fine": "x"}), ["kind", "a"]).join(fine.withColumnsRenamed({"uid": "b", "fine": "y"}), ["kind", "b"])
-    return over_batches(both.select("kind", "a", "b", "x", "y"), _alike, "kind int, a long, b long")
+    met = settle(met.filter((F.col("trees") > 1) | (F.col("agree") >= STRICT)).select("kind", "a", "b"), "met")
+    release(*tables, *([] if few else [reps]))
+    out = in_portions(met, max(PORTION, signed.count() // 4), functools.partial(possible, signed), "candidates")
+    release(met)
+    return out
+
+
+def in_portions(pairs: DataFrame, most: int, fn: Callable[[DataFrame, int], DataFrame], name: str) -> DataFrame:
+    """fn of the pairs and their number, by portions of about most pairs, each written before the next begins."""
+    n = pairs.count()
+    parts = max(1, -(-n // most))
+    chosen = [pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == i) for i in range(parts)]
+    return functools.reduce(DataFrame.unionByName, [settle(fn(part, n // parts), name) for part in chosen])
+
+
+def possible(signed: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The pairs whose bitmaps allow SIMILAR."""
+    rows = signed.select("kind", "uid", "size", "bits")
+    if n * 2 <= BROADCAST_IDS:
+        ids = pairs.select(F.explode(F.array(_code(uid="a"), _code(uid="b"))).alias("packed")).distinct()
+        rows = rows.withColumn("packed", _code()).join(F.broadcast(ids), "packed", "left_semi").drop("packed")
+    rows = rows.dropDuplicates(["kind", "uid"])
+    both = pairs.join(rows.withColumnsRenamed({"uid": "a", "size": "m", "bits": "x"}), ["kind", "a"]).join(rows.withColumnsRenamed({"uid": "b", "size": "n", "bits": "y"}), ["kind", "b"])
+    return over_batches(both.select("kind", "a", "b", "m", "n", "x", "y"), _possible, "kind int, a long, b long")
 
 
-def _alike(batches):
+def _possible(batches):
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, FINE // 2) for i in (3, 4))
-        d = x ^ y
-        yield pa.RecordBatch.from_arrays(b.columns[:3], ["kind", "a", "b"]).filter(pa.array((d < 16).sum(1) + (d & 15 == 0).sum(1) >= ALIKE))
+        keep = []
+        for m, n, x, y in zip(*(c.to_pylist() for c in b.columns[3:])):
+            common = most_common(x, y, m, n)
+            keep.append(common / (m + n - common) >= SIMILAR)
+        yield pa.RecordBatch.from_arrays(b.columns[:3], ["kind", "a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def crowded_pairs(found: DataFrame) -> DataFrame:
     """Pairs within regions that lie in several blocks: each two blocks meet under a key of their own, spread over all tasks."""
     spark = found.sparkSession
-    blocks = found.filter("region is not null").select("region", "block").withColumn("no", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("block"))) - 1)
-    blocks = settle(blocks.join(blocks.groupBy("region").agg(F.count("*").alias("n")), "region"), "crowded")
+    region = Window.partitionBy("region")
+    blocks = found.filter("region is not null").select("region", "block").withColumns({"no": F.row_number().over(region.orderBy(F.xxhash64("block"))) - 1, "n": F.count("*").over(region)})
+    blocks = settle(blocks, "crowded")
     others = F.sequence(F.lit(0), F.col("n") - 1)
-    one = blocks.select("region", F.col("no").alias("i"), F.explode(F.filter(others, lambda j: j >= F.col("no"))).alias("j"), "block")
-    two = blocks.select("region", F.explode(F.filter(others, lambda i: i <= F.col("no"))).alias("i"), F.col("no").alias("j"), F.col("block").alias("other"))
-    both = one.join(two, ["region", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "block", "other")
-    return over_batches(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), _block_pairs, PAIRS)
+    one = blocks.select("region", F.col("no").alias("i"), F.explode(F.filter(others, lambda j: j > F.col("no"))).alias("j"), "block")
+    two = blocks.select("region", F.explode(F.filter(others, lambda i: i < F.col("no"))).alias("i"), F.col("no").alias("j"), F.col("block").alias("other"))
+    both = one.join(two, ["region", "i", "j"]).select("block", "other").unionByName(blocks.select("block", F.lit(None).cast("binary").alias("other")))
+    pairs = settle(over_batches(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), _block_pairs, PAIRS), "crowded_pairs")
+    release(blocks)
+    return pairs
 
 
 def _sets(batches, wanted=None):
@@ -333,13 +448,12 @@ def _share(batches):
         yield pa.RecordBatch.from_arrays([kind, one, other, pa.array(out, pa.float64())], ["kind", "a", "b", "similarity"])
 
 
-def verified(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """kind, a, b, similarity of the pairs whose sets really reach SIMILAR."""
+def verified(records: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """kind, a, b, similarity of the n pairs whose sets really reach SIMILAR."""
     spark = records.sparkSession
-    pairs = settle(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array(F.col("a") * 2 + F.col("kind"), F.col("b") * 2 + F.col("kind"))).alias("packed")).distinct()
+    ids = pairs.select(F.explode(F.array(_code(uid="a"), _code(uid="b"))).alias("packed")).distinct()
     schema = "kind int, uid long, seqs array<long>"
-    if pairs.count() * 2 <= BROADCAST_IDS:
+    if n * 2 <= BROADCAST_IDS:
         shared = spark.sparkContext.broadcast(np.sort(ids.toPandas()["packed"].to_numpy(np.int64)))
         sets = over_batches(records, lambda batches: _sets(batches, shared.value), schema)
     else:
@@ -354,9 +468,13 @@ def verified(records: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives (kind, a, b, similarity), and the classes' members (kind, uid, rep, copies)."""
     records = widen(records.select("record_kind", "record_uid", "text")).filter("record_uid is not null")
-    signed = settle(over_batches(records, _sign, SIGNED), "signed")
-    twins = settle(classes(signed), "twins")
-    return settle(verified(records, candidates(signed, twins)), "links"), twins
+    with shuffles_freed(records.sparkSession):
+        signed = settle(over_batches(records, _sign, SIGNED), "signed")
+        twins = settle(classes(signed), "twins")
+        most = max(PORTION, signed.count() // 4) // 4
+        pairs = candidates(signed, twins)
+        release(signed)
+        return in_portions(pairs, most, functools.partial(verified, records), "links"), twins
 
 
 def _members(rows: DataFrame, side: str, wanted: Column, twins: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -59,18 +60,42 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that settle() returned and that nothing reads any more."""
+    for t in tables:
+        _written.remove((t.sparkSession, t._settled))
+        _remove(t.sparkSession, t._settled)
 
 
 def sweep() -> None:
     """Remove the tables that settle() wrote."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may have ended before
-            pass
+        _remove(*_written.pop())
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it each query's shuffle files go as the query ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 atexit.register(sweep)

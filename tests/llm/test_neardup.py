@@ -1,5 +1,7 @@
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -178,3 +180,65 @@ def test_components_of_a_chain(spark):
 
 def test_empty(spark):
     assert N.similar_pairs(records(spark, [])).count() == 0 and N.groups(records(spark, [(1, None)])).count() == 0
+
+
+def phrases(n=600, seed=4):
+    """Texts of phrases that many have in common; two of them have about a sixth of their sequences in common."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}w{k}" for k in range(5)) for i in range(90)]
+    return [(u, " ".join(rng.sample(pool, 40))) for u in range(1, n + 1)]
+
+
+def test_chance_meetings_are_not_written(spark, monkeypatch):
+    """Of texts that only share phrases few pairs reach the disk, and what the steps wrote goes with them."""
+    settled, written, real = [], [], N.settle
+
+    def settle(df, name):
+        out = real(df, name)
+        settled.append((name, out.inputFiles()))
+        if name == "forest":
+            written.append(out.filter("a is not null").count())
+        return out
+
+    monkeypatch.setattr(N, "settle", settle)
+    rows = phrases()
+    assert pairs(spark, rows) == brute(rows)
+    print("pairs written", sum(written))
+    assert sum(written) < 500
+    assert {name for name, files in settled if any(Path(f.removeprefix("file://")).exists() for f in files)} <= {"twins", "candidates", "links"}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    from clauseworks.runtime import shuffles_freed
+
+    dirs = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = files()
+    with shuffles_freed(spark):
+        spark.range(10_000).repartition(3).write.format("noop").mode("overwrite").save()
+        for _ in range(100):
+            if files() <= before:
+                break
+            time.sleep(0.1)
+    assert files() <= before
+    kept = spark.range(10_000).repartition(3).write.format("noop").mode("overwrite").save
+    kept()
+    assert files() - before  # they stay without it
+
+
+def test_portions_change_nothing(spark, monkeypatch):
+    rows = corpus()
+    whole = pairs(spark, rows)
+    monkeypatch.setattr(N, "PORTION", 1)
+    assert len(whole) > 50 and pairs(spark, rows) == whole
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    assert pairs(spark, rows) == whole
+
+
+def test_bitmaps_never_lose_a_common_element():
+    rng = np.random.default_rng(6)
+    for m, n, common in [(40, 40, 0), (40, 40, 40), (60, 900, 50), (900, 60, 30), (5000, 4000, 2000), (5000, 40, 40), (100, 100, 50)]:
+        x = rng.integers(0, 1 << 63, m + n - common, dtype=np.uint64)
+        one, other = N.bitmaps([np.sort(x[:m]), np.sort(x[m - common :])])
+        most = N.most_common(one, other, m, n)
+        assert common <= most <= min(m, n) and (m != n or most < common + m // 4)
